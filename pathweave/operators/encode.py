@@ -45,12 +45,14 @@ def presence_strings(
     df: DataFrame, encoder: DataFrame, token: str, outcome: Sequence[str | Column] = OUTCOME
 ) -> DataFrame:
     """0/1 string per outcome, position ``n`` telling whether token ``n`` occurs."""
-    size = encoder.agg(F.count(F.lit(1)).cast("int")).scalar()
-    codes = df.join(encoder.select(token, "n"), token).groupBy(*outcome).agg(F.collect_set("n").alias("codes"))
+    sized = encoder.select(token, "n", F.max("n").over(W.partitionBy()).alias("_last"))
+    codes = df.join(sized, token).groupBy(*outcome).agg(
+        F.collect_set("n").alias("_codes"), F.max("_last").alias("_last")
+    )
     bits = F.transform(
-        F.sequence(F.lit(0), size - 1), lambda i: F.when(F.array_contains("codes", i), "1").otherwise("0")
+        F.sequence(F.lit(0), F.col("_last")), lambda i: F.when(F.array_contains("_codes", i), "1").otherwise("0")
     )
-    return codes.withColumn("presence", F.array_join(bits, "")).drop("codes")
+    return codes.withColumn("presence", F.array_join(bits, "")).drop("_codes", "_last")
 
 
 def mask_matrix(

@@ -1,15 +1,20 @@
 """Which channels occur together more often than chance would have it."""
 
 import math
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .paths import OUTCOME
 
+# the UDF below travels with its helpers, so workers need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def path_kinds(df: DataFrame, channel: str, outcome: Sequence[str] = OUTCOME) -> DataFrame:
     """``channels`` (sorted distinct set) and ``n_paths``, how many outcomes have exactly that set."""

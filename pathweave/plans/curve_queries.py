@@ -19,7 +19,7 @@ def daily_volume(spark, sf):
     return curves.volume(b.touches(spark, sf), ["event_dt", "channel_id", "channel_name"]).orderBy("event_dt", F.desc("no_events"))
 
 
-_SHARE = "SELECT event_dt, channel_name, count(*) AS no_events, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY event_dt), 6) AS prop FROM touch {} GROUP BY ALL"
+_SHARE = "SELECT event_dt, channel_name, count(*) AS no_events, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY event_dt), 6) AS prop FROM touch {} GROUP BY event_dt, channel_name"
 
 
 @query("daily_share", with_views(_SHARE.format(""), "touch"))
@@ -102,22 +102,22 @@ def lookback_curve_rounded(spark, sf):
 
 
 
-@query("excluded_channels", merged_sql("SELECT channel_name FROM cnts GROUP BY channel_name HAVING sum(CASE WHEN day_diff <= 61 THEN cnt END) < 1000 OR channel_name IN ('epn', 'Others')", extra=_LAGS))
+@query("excluded_channels", merged_sql("SELECT channel_name FROM cnts GROUP BY channel_name HAVING sum(CASE WHEN day_diff <= 61 THEN cnt END) < 2020 OR channel_name IN ('epn', 'Others')", extra=_LAGS))
 def excluded_channels(spark, sf):
-    return curves.low_volume(_lag_counts(spark, sf), 1000, fixed=["epn", "Others"])
+    return curves.low_volume(_lag_counts(spark, sf), 2020, fixed=["epn", "Others"])
 
 
 @query(
     "curve_without_excluded",
     merged_sql(
         """SELECT channel_name, day_diff, cnt FROM cnts WHERE channel_name IS NULL OR channel_name NOT IN
-           (SELECT channel_name FROM cnts WHERE channel_name IS NOT NULL GROUP BY channel_name HAVING sum(CASE WHEN day_diff <= 61 THEN cnt END) < 1000)""",
+           (SELECT channel_name FROM cnts WHERE channel_name IS NOT NULL GROUP BY channel_name HAVING sum(CASE WHEN day_diff <= 61 THEN cnt END) < 2020)""",
         extra=_LAGS,
     ),
 )
 def curve_without_excluded(spark, sf):
     counts = _lag_counts(spark, sf)
-    return sets.without(counts, curves.low_volume(counts, 1000), "channel_name")
+    return sets.without(counts, curves.low_volume(counts, 2020), "channel_name")
 
 
 _WINDOWS = {"d1": 1, "d7": 7, "d14": 14, "d30": 30}

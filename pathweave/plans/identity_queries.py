@@ -46,12 +46,12 @@ def dedup_clicks(spark, sf):
     "dedup_volume",
     _first(
         "lineitem", "l_orderkey, l_linenumber",
-        _nulls_first("l_returnflag", "l_linestatus", "l_shipmode", "l_partkey", "l_suppkey", "l_quantity"),
-        "l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_shipmode, l_partkey, l_suppkey, l_quantity",
+        _nulls_first("l_returnflag", "l_linestatus", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity"),
+        "l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_shipdate, l_partkey, l_suppkey, l_quantity",
     ),
 )
 def dedup_volume(spark, sf):
-    order = ["l_returnflag", "l_linestatus", "l_shipmode", "l_partkey", "l_suppkey", "l_quantity"]
+    order = ["l_returnflag", "l_linestatus", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", *order)
     return keep_first(rows, ["l_orderkey", "l_linenumber"], order)
 

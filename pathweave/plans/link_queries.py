@@ -101,16 +101,16 @@ def lookback_salted(spark, sf):
 @query(
     "lag_columns",
     merged_sql(
-        """SELECT event_id, transaction_id, cko_sec_diff, round(cko_sec_diff / 86400.0, 6) AS cko_day_diff,
-           bbowa_sec_diff, round(bbowa_sec_diff / 86400.0, 6) AS bbowa_day_diff,
+        """SELECT event_id, transaction_id, cko_sec_diff, round(cko_sec_diff / 86400.0::DOUBLE, 9) AS cko_day_diff,
+           bbowa_sec_diff, round(bbowa_sec_diff / 86400.0::DOUBLE, 9) AS bbowa_day_diff,
            CASE WHEN cko_sec_diff > -600 THEN 1 ELSE 0 END AS is_before_checkout,
            CASE WHEN bbowa_sec_diff > -600 THEN 1 ELSE 0 END AS is_before_bbowa FROM merged"""
     ),
 )
 def lags(spark, sf):
     return merged(spark, sf).select(
-        "event_id", "transaction_id", "cko_sec_diff", F.round("cko_day_diff", 6).alias("cko_day_diff"),
-        "bbowa_sec_diff", F.round("bbowa_day_diff", 6).alias("bbowa_day_diff"), "is_before_checkout", "is_before_bbowa",
+        "event_id", "transaction_id", "cko_sec_diff", F.round("cko_day_diff", 9).alias("cko_day_diff"),
+        "bbowa_sec_diff", F.round("bbowa_day_diff", 9).alias("bbowa_day_diff"), "is_before_checkout", "is_before_bbowa",
     )
 
 
