@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .path_counts import ordered_counts
 from .skew import skew_join
 
 OUTCOME = ("transaction_id", "item_id")
@@ -103,68 +104,13 @@ def ordered_pairs(
 ) -> DataFrame:
     """Pairs (earlier channel, later channel) over all pairs of touches, per path length.
 
-    Per path and pair of channels one walk along the path counts how often the
-    first came before the second; the reverse order is the rest of ``n1 * n2``.
+    Needs a running count per channel along each path, which array functions
+    can only do one pair of channels at a time; so each task counts its own
+    paths with numpy, and only sums per (path length, pair) are shuffled.
     """
-    paths = build_paths(touches, max_length, outcome).select(
-        "path_length",
-        F.col("touches.channel_name").alias("path"),
-        F.array_sort(F.array_distinct("touches.channel_name")).alias("channels"),
-    )
-
-    def before(one: Column, two: Column) -> Column:
-        return F.aggregate(
-            "path",
-            F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("n")),
-            lambda acc, c: F.struct(
-                F.when(c == one, acc["seen"] + 1).otherwise(acc["seen"]).alias("seen"),
-                F.when(c == two, acc["n"] + acc["seen"]).otherwise(acc["n"]).alias("n"),
-            ),
-            lambda acc: acc["n"],
-        )
-
-    def occurrences(name: Column) -> Column:
-        return F.size(F.filter("path", lambda c: c == name)).cast("bigint")
-
-    def with_later(one: Column, i: Column) -> Column:
-        return F.transform(
-            F.slice("channels", i + 1, F.size("channels")),
-            lambda two: F.struct(
-                one.alias("one"),
-                two.alias("two"),
-                occurrences(one).alias("n1"),
-                occurrences(two).alias("n2"),
-                before(one, two).alias("n12"),
-            ),
-        )
-
-    cells = paths.select("path_length", F.inline(F.flatten(F.transform("channels", with_later))))
-    same = F.col("one") == F.col("two")
-    pairs = cells.select(
-        "path_length",
-        F.inline(
-            F.when(
-                same,
-                F.array(
-                    F.struct(
-                        F.col("one").alias("channel_1"),
-                        F.col("two").alias("channel_2"),
-                        F.expr("n1 * (n1 - 1) div 2").alias("n"),
-                    )
-                ),
-            ).otherwise(
-                F.array(
-                    F.struct(F.col("one").alias("channel_1"), F.col("two").alias("channel_2"), F.col("n12").alias("n")),
-                    F.struct(
-                        F.col("two").alias("channel_1"),
-                        F.col("one").alias("channel_2"),
-                        F.expr("n1 * n2 - n12").alias("n"),
-                    ),
-                )
-            )
-        ),
-    )
-    return _sum_pairs(pairs)
+    paths = build_paths(touches, max_length, outcome).select("path_length", F.col("touches.channel_name").alias("path"))
+    counted = paths.mapInPandas(ordered_counts, "path_length bigint, channel_1 string, channel_2 string, n bigint")
+    return _sum_pairs(counted)
 
 
 def _sum_pairs(pairs: DataFrame) -> DataFrame:

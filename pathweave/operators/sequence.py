@@ -10,13 +10,26 @@ from ..functions.clock import seconds
 from .paths import OUTCOME, short_paths
 
 
+def _local(touches: DataFrame, within: Sequence[str], ts: str, tie_break: str) -> DataFrame:
+    group = W.partitionBy(*within)
+    by_time = group.orderBy(ts, tie_break)
+    return touches.withColumns(
+        {
+            "previous": F.lag("_row").over(by_time),
+            "next": F.lead("_row").over(by_time),
+            "forward_step": F.rank().over(group.orderBy(ts)),
+            "backward_step": F.rank().over(group.orderBy(F.col(ts).desc())),
+        }
+    )
+
+
 def with_neighbours(
     touches: DataFrame,
     current: Sequence[str],
     outcome: Sequence[str] = OUTCOME,
     ts: str = "event_ts",
     tie_break: str = "event_id",
-    chunk_seconds: int = 3600,
+    chunk_seconds: int | None = 3600,
 ) -> DataFrame:
     """Add ``previous``, ``next``, ``forward_step`` and ``backward_step`` to each touch.
 
@@ -25,12 +38,15 @@ def with_neighbours(
 
     A path may be arbitrarily long, so it is worked on in chunks of time: ranks
     and neighbours inside a chunk, then the few rows describing whole chunks
-    supply what lies across a chunk's border.
+    supply what lies across a chunk's border.  ``touches`` is read twice for
+    that; hand in a stored table.  For paths known to be short
+    ``chunk_seconds=None`` does without.
     """
-    row = F.struct(*current)
+    rows = touches.withColumn("_row", F.struct(*current))
+    if chunk_seconds is None:
+        return _local(rows, outcome, ts, tie_break).drop("_row")
     chunk = [*outcome, "_chunk"]
-    cut = touches.withColumns({"_chunk": F.floor(seconds(ts) / chunk_seconds), "_row": row})
-
+    cut = rows.withColumn("_chunk", F.floor(seconds(ts) / chunk_seconds))
     order = F.struct(ts, tie_break)
     chunks = cut.groupBy(*chunk).agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -38,33 +54,21 @@ def with_neighbours(
         F.max_by("_row", order).alias("_last"),
     )
     by_chunk = W.partitionBy(*outcome).orderBy("_chunk")
-    borders = chunks.select(
+    earlier = F.sum("_rows").over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
+    total = F.sum("_rows").over(W.partitionBy(*outcome))
+    borders = chunks.withColumn("_earlier", F.coalesce(earlier, F.lit(0))).select(
         *chunk,
+        "_earlier",
+        (total - F.col("_earlier") - F.col("_rows")).alias("_later"),
         F.lag("_last").over(by_chunk).alias("_before"),
         F.lead("_first").over(by_chunk).alias("_after"),
-        F.coalesce(
-            F.sum("_rows").over(by_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_earlier"),
-        F.coalesce(
-            F.sum("_rows").over(by_chunk.rowsBetween(1, W.unboundedFollowing)), F.lit(0)
-        ).alias("_later"),
-    )
-    inside = W.partitionBy(*chunk)
-    forward, backward = inside.orderBy(ts, tie_break), inside.orderBy(F.col(ts).desc())
-    local = cut.withColumns(
-        {
-            "_prev": F.lag("_row").over(forward),
-            "_next": F.lead("_row").over(forward),
-            "_rank": F.rank().over(inside.orderBy(ts)),
-            "_back": F.rank().over(backward),
-        }
     )
-    return local.join(borders, chunk).select(
+    return _local(cut, chunk, ts, tie_break).join(borders, chunk).select(
         *touches.columns,
-        F.coalesce("_prev", "_before").alias("previous"),
-        F.coalesce("_next", "_after").alias("next"),
-        (F.col("_rank") + F.col("_earlier")).alias("forward_step"),
-        (F.col("_back") + F.col("_later")).alias("backward_step"),
+        F.coalesce("previous", "_before").alias("previous"),
+        F.coalesce("next", "_after").alias("next"),
+        (F.col("forward_step") + F.col("_earlier")).alias("forward_step"),
+        (F.col("backward_step") + F.col("_later")).alias("backward_step"),
     )
 
 
@@ -88,7 +92,7 @@ def chrono_events(
     attributes: Sequence[str] = (),
 ) -> DataFrame:
     """One row per outcome with its events in order, each with both neighbours and steps."""
-    steps = with_neighbours(short_paths(touches, max_length, outcome), current, outcome)
+    steps = with_neighbours(short_paths(touches, max_length, outcome), current, outcome, chunk_seconds=None)
 
     def names(side: str) -> list[Column]:
         return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in current]

@@ -411,10 +411,11 @@ def path_steps(linked: DataFrame, big_rocks: DataFrame) -> DataFrame:
     )
 
 
-def transition_edges(spark: SparkSession, linked_path: str, big_rocks_path: str, out: str) -> None:
-    """Weighted transitions between consecutive touches."""
+def transition_edges(spark: SparkSession, linked_path: str, big_rocks_path: str, steps_out: str, out: str) -> None:
+    """Weighted transitions between consecutive touches; the labelled touches are kept in ``steps_out``."""
     configure(spark)
     rows = path_steps(scan.scan(spark, linked_path), lookups.read_tsv_lookup(spark, big_rocks_path))
+    rows = sinks.stage(rows, steps_out)
     steps = sequence.with_neighbours(rows, CURRENT)
     sinks.write_parquet(sequence.weighted_edges(steps, TRANSACTION, CURRENT), out)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import encode, paths, sequence
+from ..sources.sinks import stage
 from . import bindings as b
 from .jobs import CURRENT, TRANSACTION, by_intent, path_steps
 from .link_queries import merged, merged_sql
@@ -202,6 +203,10 @@ def _info(spark, sf):
     return path_steps(merged(spark, sf), b.rotation_lookup(spark, sf))
 
 
+def _stored_info(spark, sf):
+    return stage(_info(spark, sf))
+
+
 @query(
     "path_neighbours",
     merged_sql(
@@ -209,7 +214,7 @@ def _info(spark, sf):
     ),
 )
 def path_neighbours(spark, sf):
-    return sequence.with_neighbours(_info(spark, sf), CURRENT).select(
+    return sequence.with_neighbours(_stored_info(spark, sf), CURRENT).select(
         "transaction_id", "event_id", F.col("previous.channel_name").alias("previous_channel_name"),
         F.col("next.channel_name").alias("next_channel_name"), "forward_step", "backward_step",
     )
@@ -224,7 +229,7 @@ def path_neighbours(spark, sf):
     ),
 )
 def weighted_edges(spark, sf):
-    edges = sequence.weighted_edges(sequence.with_neighbours(_info(spark, sf), CURRENT), TRANSACTION, CURRENT)
+    edges = sequence.weighted_edges(sequence.with_neighbours(_stored_info(spark, sf), CURRENT), TRANSACTION, CURRENT)
     return edges.select("transaction.*", "current.*", *[F.col(f"next.{c}").alias(f"next_{c}") for c in CURRENT], "step", "weight")
 
 
