@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .paths import OUTCOME
 
@@ -122,7 +123,16 @@ def _tests(observed: int, n1: int, n2: int, n: int) -> tuple[float, float, float
     return p_lt, p_gt, math.erfc(math.sqrt(statistic / 2)), any(e < 5 for _, e in cells)
 
 
-@F.pandas_udf("p_lt double, p_gt double, p_value_chisq double, unstable_pvalue boolean")
+_TESTED = (
+    T.StructType()
+    .add("p_lt", T.DoubleType())
+    .add("p_gt", T.DoubleType())
+    .add("p_value_chisq", T.DoubleType())
+    .add("unstable_pvalue", T.BooleanType())
+)
+
+
+@F.pandas_udf(_TESTED)
 def _pair_tests(observed: pd.Series, n1: pd.Series, n2: pd.Series, n: pd.Series) -> pd.DataFrame:
     rows = [_tests(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(observed, n1, n2, n)]
     return pd.DataFrame(rows, columns=["p_lt", "p_gt", "p_value_chisq", "unstable_pvalue"])

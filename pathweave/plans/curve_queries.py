@@ -8,7 +8,9 @@ from . import bindings as b
 from .link_queries import merged, merged_sql
 from .registry import query, with_views
 
-_DASHBOARD = F.col("event_type_id").isin(*v.DASHBOARD_CLICKS)
+
+def _dashboard_clicks(df):
+    return df.where(F.col("event_type_id").isin(*v.DASHBOARD_CLICKS))
 
 
 @query(
@@ -69,7 +71,7 @@ _LAGS = {
 
 
 def _lag_counts(spark, sf):
-    return curves.lag_counts(merged(spark, sf).where(_DASHBOARD), ["channel_name"], F.col("day_diff"))
+    return curves.lag_counts(_dashboard_clicks(merged(spark, sf)), ["channel_name"], F.col("day_diff"))
 
 
 _CURVE = """SELECT coalesce(channel_name, 'isNA') AS channel_name, day_diff, cnt, {p} AS prcnt,
@@ -125,7 +127,7 @@ _CLICKED = "(SELECT *, coalesce(channel_name, 'Unassigned') AS chan FROM merged
 
 
 def _clicked(spark, sf):
-    return merged(spark, sf).where(_DASHBOARD).withColumn("channel_name", F.coalesce("channel_name", F.lit("Unassigned")))
+    return _dashboard_clicks(merged(spark, sf)).withColumn("channel_name", F.coalesce("channel_name", F.lit("Unassigned")))
 
 
 @query(
@@ -343,7 +345,7 @@ _DAILY_CLICKS = "SELECT event_dt, coalesce(channel_name, 'Unassigned') AS channe
 
 
 def _daily_clicks(spark, sf):
-    clicks = b.touches(spark, sf).where(_DASHBOARD)
+    clicks = _dashboard_clicks(b.touches(spark, sf))
     return curves.volume(clicks, ["event_dt", F.coalesce("channel_name", F.lit("Unassigned")).alias("channel_name")])
 
 
