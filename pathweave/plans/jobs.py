@@ -62,24 +62,45 @@ def organic_touches(session_table: DataFrame) -> DataFrame:
     """Sessions that came from organic traffic, in the shape of touches."""
     organic = session_table.where(F.col("traffic_source_id").isin(*v.ORGANIC_TRAFFIC_SOURCES))
     session_id = F.concat(*[F.col(c).cast("string") for c in ("session_skey", "guid", "site_id", "cobrand")])
-    return organic.select(
-        "guid",
-        "cguid",
-        F.col("parent_uid").alias("user_id"),
-        session_id.alias("event_id"),
-        F.lit(5).alias("event_id_type"),
-        F.lit(v.ORGANIC_SESSION).alias("event_type_id"),
-        F.lit(0).alias("channel_id"),
-        F.lit("organic").alias("channel_name"),
-        F.col("session_start_dt").alias("event_dt"),
-        F.col("start_timestamp").alias("event_ts"),
-        F.lit(None).cast("string").alias("incdata_id"),
-        "device_type_level1",
-        "device_type_level2",
-        F.col("vi_cnt").alias("flex_column_6"),
-        F.lit("organic").alias("data_source"),
-        F.col("session_start_dt").alias("dt"),
-    )
+
+    def given(column: str, kind: str = "string") -> Column:
+        return (F.col(column) if column in session_table.columns else F.lit(None)).cast(kind)
+
+    def empty(kind: str = "string") -> Column:
+        return F.lit(None).cast(kind)
+
+    columns = {
+        "guid": F.col("guid"),
+        "cguid": F.col("cguid"),
+        "user_id": F.col("parent_uid"),
+        "event_id": session_id,
+        "event_id_type": F.lit(5),
+        "event_type_id": F.lit(v.ORGANIC_SESSION),
+        "channel_id": F.lit(0),
+        "channel_name": F.lit("organic"),
+        "rotation_id": empty("bigint"),
+        "rotation_name": empty(),
+        "campaign_id": empty("bigint"),
+        "campaign_name": empty(),
+        "event_dt": F.col("session_start_dt"),
+        "event_ts": F.col("start_timestamp"),
+        "incdata_id": empty(),
+        "cluster_id": empty(),
+        "device_id": given("device_type"),
+        "experience_level1": given("experience_level1"),
+        "experience_level2": given("experience_level2"),
+        "device_type_level1": F.col("device_type_level1"),
+        "device_type_level2": F.col("device_type_level2"),
+        "flex_column_1": given("lndg_page_id"),
+        "flex_column_2": empty(),
+        "flex_column_3": empty(),
+        "flex_column_4": empty(),
+        "flex_column_5": given("gr_cnt", "bigint"),
+        "flex_column_6": given("vi_cnt", "bigint"),
+        "data_source": F.lit("organic"),
+        "dt": F.col("session_start_dt"),
+    }
+    return organic.select(*[column.alias(name) for name, column in columns.items()])
 
 
 def export_organic_touches(spark: SparkSession, sessions_path: str, out: str, start: str, end: str) -> None:

@@ -199,7 +199,10 @@ def paid_touches(spark, sf):
 def organic_touches(spark, sf):
     from .jobs import organic_touches as build
 
-    return build(b.sessions(spark, sf)).drop("incdata_id")
+    return build(b.sessions(spark, sf)).select(
+        "guid", "cguid", "user_id", "event_id", "event_id_type", "event_type_id", "channel_id", "channel_name", "event_dt",
+        "event_ts", "device_type_level1", "device_type_level2", "flex_column_6", "data_source", "dt",
+    )
 
 
 @query(
