@@ -49,6 +49,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        # the tables are one unsplit file each: only a shuffle brings the look-back joins to all cores
+        .config("spark.sql.autoBroadcastJoinThreshold", "200k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -60,9 +62,9 @@ def main() -> None:
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    timed("lookback_curve")  # starts the JVM's compiler and the Python workers
     seconds = {}
     for name in HEADLINE:
+        timed(name)  # generated code is compiled once
         seconds[name] = round(timed(name), 3)
     print(
         json.dumps(

@@ -1,8 +1,9 @@
 """Write results and stages."""
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
@@ -36,20 +37,24 @@ def write_tsv(df: DataFrame, path: str, null: str | None = None, by: Sequence[st
     writer.csv(path)
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise ValueError("give a path or set spark.checkpoint.dir to a shared folder")
+    return folder.rstrip("/")
+
+
 def stage(df: DataFrame, path: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Cut a plan: write ``df`` and go on from what was written.
+    """Cut a plan: write ``df`` as a table and go on from what was written.
 
-    With a ``path`` the stage is a table that later jobs can read too; without,
-    it goes to the session's checkpoint directory.  Either survives the loss of
-    executors.
+    With a ``path`` later jobs can read the table too; without, it goes to a new
+    folder under the session's checkpoint directory.  Either survives the loss
+    of executors, and later steps read only the columns they need.
     """
-    if path is None:
-        spark = df.sparkSession
-        if spark.conf.get("spark.checkpoint.dir", None) is None:
-            raise ValueError("give a path or set spark.checkpoint.dir to a shared folder")
-        return df.checkpoint()
+    spark = df.sparkSession
+    path = path or f"{_checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
     if by:
         write_partitioned(df, path, by)
     else:
         write_parquet(df, path)
-    return df.sparkSession.read.option("basePath", path).schema(df.schema).parquet(path)
+    return spark.read.option("basePath", path).schema(df.schema).parquet(path)
