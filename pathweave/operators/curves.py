@@ -155,7 +155,8 @@ def cumulative_outcomes(
 def fill_lags(counts: DataFrame, by: Sequence[str], value: str, last: int | None = None) -> DataFrame:
     """Give every group a row for every lag from 0 to ``last`` (or the table's last), 0 where it had none."""
     end = counts.agg(F.max("day_diff")).scalar() if last is None else F.lit(last)
-    grid = counts.select(*by).distinct().withColumn("day_diff", F.explode(F.sequence(F.lit(0), end.cast("int"))))
+    groups = counts.select(*by).distinct() if by else counts.agg(F.count(F.lit(1)).alias("_all")).where("_all > 0")
+    grid = groups.select(*by, F.explode(F.sequence(F.lit(0), end.cast("int"))).alias("day_diff"))
     typed = counts.withColumn("day_diff", F.col("day_diff").cast("int"))
     return grid.join(typed, [*by, "day_diff"], "left").na.fill(0, [value])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .paths import OUTCOME
 
 MASK_BITS = 63
+MAX_TOKENS = 100_000
 
 
 def frequency_encoder(df: DataFrame, token: str) -> DataFrame:
@@ -44,9 +45,16 @@ def channel_masks(
 def presence_strings(
     df: DataFrame, encoder: DataFrame, token: str, outcome: Sequence[str | Column] = OUTCOME
 ) -> DataFrame:
-    """0/1 string per outcome, position ``n`` telling whether token ``n`` occurs."""
-    sized = encoder.select(token, "n", F.max("n").over(W.partitionBy()).alias("_last"))
-    codes = df.join(sized, token).groupBy(*outcome).agg(
+    """0/1 string per outcome, position ``n`` telling whether token ``n`` occurs.
+
+    A frequent token would make a shuffle on tokens lopsided, so the encoder is
+    broadcast; it fails on more than ``MAX_TOKENS`` tokens, a few megabytes.
+    """
+    fits = F.when(F.col("n") < MAX_TOKENS, F.col("n")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_TOKENS} tokens do not fit in a presence string")).cast("int")
+    )
+    sized = encoder.select(token, fits.alias("n"), F.max("n").over(W.partitionBy()).alias("_last"))
+    codes = df.join(F.broadcast(sized), token).groupBy(*outcome).agg(
         F.collect_set("n").alias("_codes"), F.max("_last").alias("_last")
     )
     bits = F.transform(

@@ -226,24 +226,26 @@ _FILLED = {
         CAST(sum(coalesce(f.no_txns, 0)) OVER (PARTITION BY c.channel ORDER BY d.day_diff) AS BIGINT) AS cumm_txns
         FROM (SELECT DISTINCT channel FROM first_channel) c CROSS JOIN (SELECT unnest(range(0, 26)) AS day_diff) d
         LEFT JOIN first_channel f ON f.channel = c.channel AND f.day_diff = d.day_diff""",
+    "filled_all": """SELECT d.day_diff, CAST(sum(coalesce(f.no_txns, 0)) OVER (ORDER BY d.day_diff) AS BIGINT) AS cumm_txns
+        FROM (SELECT unnest(range(0, 26)) AS day_diff) d LEFT JOIN first_all f ON f.day_diff = d.day_diff""",
 }
 
 
-def _filled(spark, sf):
-    firsts = curves.first_lags(_clicked(spark, sf), ["channel_name"], "day_diff")
-    every_lag = curves.fill_lags(firsts, ["channel_name"], "no_txns", last=25)
-    return curves.running(every_lag, "no_txns", ["channel_name"], name="cumm_txns")
+def _filled(spark, sf, by=("channel_name",)):
+    firsts = curves.first_lags(_clicked(spark, sf), by, "day_diff")
+    every_lag = curves.fill_lags(firsts, by, "no_txns", last=25)
+    return curves.running(every_lag, "no_txns", by, name="cumm_txns")
 
 
 @query(
     "pct_of_all",
     merged_sql(
-        "SELECT channel_name, f.day_diff, f.cumm_txns, round(f.cumm_txns * 100.0::DOUBLE / a.cumm_txns, 6) AS pct_of_all FROM filled f JOIN cum_all a ON f.day_diff = a.day_diff",
+        "SELECT channel_name, f.day_diff, f.cumm_txns, round(f.cumm_txns * 100.0::DOUBLE / a.cumm_txns, 6) AS pct_of_all FROM filled f JOIN filled_all a ON f.day_diff = a.day_diff",
         extra=_FILLED,
     ),
 )
 def pct_of_all(spark, sf):
-    table = curves.pct_of_all(_filled(spark, sf), curves.cumulative_outcomes(_clicked(spark, sf)))
+    table = curves.pct_of_all(_filled(spark, sf), _filled(spark, sf, by=()))
     return table.select("channel_name", "day_diff", "cumm_txns", F.round("pct_of_all", 6).alias("pct_of_all"))
 
 

@@ -29,6 +29,8 @@ def test_outcomes_count_at_their_closest_touch(spark):
     assert [r.cumm_txns for r in curves.cumulative_outcomes(rows).orderBy("day_diff").collect()] == [1, 2]
     filled = curves.fill_lags(curves.first_lags(rows, ["channel_name"], "day_diff"), ["channel_name"], "no_txns")
     assert filled.count() == 8 and filled.agg(F.sum("no_txns")).first()[0] == 3
+    overall = curves.fill_lags(curves.first_lags(rows, [], "day_diff"), [], "no_txns")
+    assert [r.no_txns for r in overall.orderBy("day_diff").collect()] == [1, 0, 0, 1]
 
 
 def test_curve_sums_rounded_percentages(spark):

@@ -151,3 +151,11 @@ def test_presence(spark):
     encoder = encode.frequency_encoder(df, "channel_name")
     got = {r.transaction_id: r.presence for r in encode.presence_strings(df, encoder, "channel_name").collect()}
     assert got == {1: "110", 2: "100", 3: "001"}
+
+
+def test_too_many_tokens_are_refused(spark, monkeypatch):
+    df = matches(spark, (1, 1, "a"), (1, 2, "b"), (2, 3, "a"))
+    encoder = encode.frequency_encoder(df, "channel_name")
+    monkeypatch.setattr(encode, "MAX_TOKENS", 1)
+    with pytest.raises(Exception, match="presence string"):
+        encode.presence_strings(df, encoder, "channel_name").collect()
