@@ -378,7 +378,7 @@ def encode_channels(spark: SparkSession, linked_path: str, encoder_out: str, out
         linked = linked.where(F.col("ck_dt") == checkout_day)
     named = labels.with_defaults(linked.select(*paths.OUTCOME, "channel_name"), {"channel_name": "Unassigned"})
     rows = named.distinct()
-    encoder = sinks_encoder(encode.mask_encoder(rows, "channel_name"), encoder_out)
+    encoder = store_encoder(encode.mask_encoder(rows, "channel_name"), encoder_out)
     sinks.write_tsv(encode.channel_masks(rows, encoder, "channel_name"), out)
 
 
@@ -392,7 +392,7 @@ def encode_tokens(
     configure(spark)
     linked = by_intent(scan.scan(spark, linked_path), intent)
     rows = linked.select(*paths.OUTCOME, labels.channel_token().alias("token")).distinct()
-    encoder = sinks_encoder(encode.frequency_encoder(rows, "token"), encoder_out)
+    encoder = store_encoder(encode.frequency_encoder(rows, "token"), encoder_out)
     sinks.write_tsv(encode.presence_strings(rows, encoder, "token"), out)
 
 
@@ -404,7 +404,7 @@ def by_intent(linked: DataFrame, intent: str | None) -> DataFrame:
     return linked.where(rules[intent])
 
 
-def sinks_encoder(encoder: DataFrame, path: str) -> DataFrame:
+def store_encoder(encoder: DataFrame, path: str) -> DataFrame:
     """Write an encoder as text and go on from a stored copy, so that every use ranks alike."""
     kept = sinks.stage(encoder, path.rstrip("/") + "_parquet")
     sinks.write_tsv(kept, path)

@@ -7,6 +7,7 @@ from ..functions import values as v
 from ..operators.sets import without
 from ..sources import lookups, scan
 from . import bindings as b
+from . import jobs
 from .registry import query, with_views
 
 _START, _END = "2024-01-05", "2024-01-20"
@@ -197,9 +198,7 @@ def paid_touches(spark, sf):
     ),
 )
 def organic_touches(spark, sf):
-    from .jobs import organic_touches as build
-
-    return build(b.sessions(spark, sf)).select(
+    return jobs.organic_touches(b.sessions(spark, sf)).select(
         "guid", "cguid", "user_id", "event_id", "event_id_type", "event_type_id", "channel_id", "channel_name", "event_dt",
         "event_ts", "device_type_level1", "device_type_level2", "flex_column_6", "data_source", "dt",
     )
