@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import bpe, ngram_join
+from pathweave.llm import bpe, ngram_join, token_files
+from pathweave.llm.shared import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,3 +33,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = new_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), to, BYTE_BPE)
+    return token_files.read_tokens(spark, to).drop("ids")
