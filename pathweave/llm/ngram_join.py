@@ -40,7 +40,7 @@ from pathweave.llm.words import mix, shingle_sets, texts
 FREQUENT = 16  # sets in which a shingle must be found to be put last in the order
 MAX_FREQUENT = 1 << 17  # the most frequent ones that are broadcast (2 MB)
 PER_BUCKET = 1 << 21  # hashes that one group is to receive
-FLUSH = 1 << 21  # hashes that a task gathers before it sends them
+FLUSH = 1 << 20  # hashes that a task gathers before it sends them
 MAX_LIGHT = 16  # largest boundary considered
 CHECK_COST = 4.0  # of a candidate's check, in keys
 
@@ -163,12 +163,21 @@ def frequent(docs: DataFrame, wanted: IdFilter, total: int, n_words: int) -> tup
     return codes[order], sets[order], buckets
 
 
+def _pack(n, left):
+    """A set's size, and how many of its shingles come from here on in the order."""
+    return (np.asarray(n, np.int64) << 32) | np.asarray(left, np.int64)
+
+
+def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x >> 32, x & 0xFFFFFFFF
+
+
 PAIR, LISTED, LIGHT = 0, 1, 2
 _ENTRY = "bucket int, kind byte, keys binary, ids binary, sizes binary"
-_ROW = "kind byte, h long, a long, b long, n long"
+_ROW = "kind byte, h long, a long, b long, n long"  # of a list's member b is what is left of the order
 
 
-def _entries(wanted, n_words, num, den, boundary, buckets, codes, sets, small_from):
+def _entries(wanted, n_words, num, den, boundary, buckets, codes):
     """Postings of the sets' prefixes and keys of light sets, packed by bucket (negative: nothing to pair in there)."""
 
     def light(i: int, s: np.ndarray, into: list) -> None:
@@ -179,7 +188,7 @@ def _entries(wanted, n_words, num, den, boundary, buckets, codes, sets, small_fr
                 salt = np.uint64(min(n, m) * 4096 + max(n, m))
                 for subset in combinations(s.tolist(), need):
                     x = sum(subset) & 0xFFFFFFFFFFFFFFFF
-                    into.append((int(mix(np.array([x], np.uint64) ^ mix(np.array([salt])))[0].view(np.int64)), i, n))
+                    into.append((int(mix(np.array([x], np.uint64) ^ mix(np.array([salt])))[0].view(np.int64)), i, int(_pack(n, n))))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded, at_code = codes.value
@@ -226,12 +235,13 @@ def _entries(wanted, n_words, num, den, boundary, buckets, codes, sets, small_fr
             before = np.cumsum(cold) - cold
             rank = before - before[offsets[:-1][doc]] if len(doc) else before
             take = cold & (rank < length[doc])
-            rare.append((h[take], ids[doc[take]], n[doc[take]]))
+            rare.append((h[take], ids[doc[take]], _pack(n[doc[take]], n[doc[take]] - rank[take])))
             left = length - np.bincount(doc[take], minlength=len(n))
             for i in np.flatnonzero(left > 0):
                 own = np.flatnonzero(many[offsets[i] : offsets[i + 1]]) + offsets[i]
                 own = own[np.lexsort((code[own], at_code[where[own]]))][: left[i]]
-                other.append((LISTED, (code[own], np.full(len(own), ids[i]), np.full(len(own), n[i]))))
+                rest = n[i] - (length[i] - left[i]) - np.arange(len(own))
+                other.append((LISTED, (code[own], np.full(len(own), ids[i]), _pack(n[i], rest))))
                 size += len(own)
             keys: list = []
             for i in np.flatnonzero((n > 0) & (n <= boundary)):
@@ -253,15 +263,16 @@ def _pairs(num: int, den: int):
     def pairs(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
         bucket = table.column("bucket")[0].as_py()
-        ids, n = join("ids", np.int64), join("sizes", np.int64)
+        ids = join("ids", np.int64)
+        n, left = _unpack(join("sizes", np.int64))
         if bucket < 0:
             h = join("keys", np.int64)
             lengths = [len(x.as_py()) // 8 for x in table.column("keys")]
             kind = np.repeat(table.column("kind").to_numpy(), lengths)
-            return _rows(kind, h, ids, None, n)
+            return _rows(kind, h, ids, left, n)
         key = join("keys", np.uint32)
         order = np.argsort(key, kind="stable")
-        key, ids, n = key[order], ids[order], n[order]
+        key, ids, n, left = key[order], ids[order], n[order], left[order]
         at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         size = np.diff(at)
         found = []
@@ -270,6 +281,7 @@ def _pairs(num: int, den: int):
             i, j = np.triu_indices(length, 1)
             i, j = lists[:, i].ravel(), lists[:, j].ravel()
             near = (num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j])) & (ids[i] != ids[j])
+            near &= (num + den) * np.minimum(left[i], left[j]) >= num * (n[i] + n[j])
             i, j = i[near], j[near]
             found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
         out = []
@@ -278,7 +290,7 @@ def _pairs(num: int, den: int):
             out.append(_rows(np.full(len(two), PAIR, np.int8), None, two[:, 0], two[:, 1], None))
         long = np.repeat(size > 2 * FREQUENT, size)  # a frequent shingle beyond those that are broadcast
         if long.any():
-            out.append(_rows(np.full(long.sum(), LISTED, np.int8), (np.int64(bucket) << 32) | key[long].astype(np.int64), ids[long], None, n[long]))
+            out.append(_rows(np.full(long.sum(), LISTED, np.int8), (np.int64(bucket) << 32) | key[long].astype(np.int64), ids[long], left[long], n[long]))
         return pa.concat_tables(out) if out else _rows(*[np.zeros(0, np.int64)] * 5)
 
     return pairs
@@ -351,29 +363,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = IdFilter(sets, "rep")
     codes, counts, buckets = frequent(source, wanted, total, n_words)
     shared = spark.sparkContext.broadcast((codes, counts))
-    made = _entries(wanted, n_words, num, den, boundary, buckets, shared, counts, None)
+    made = _entries(wanted, n_words, num, den, boundary, buckets, shared)
     rows = cut(source.mapInArrow(made, _ENTRY).groupBy("bucket").applyInArrow(_pairs(num, den), _ROW))
 
     def star(listed: DataFrame, by: str) -> DataFrame:
-        return listed.join(listed.groupBy(by).agg(F.min_by(F.struct("a", "n"), "a").alias("first")), by)
+        return listed.join(listed.groupBy(by).agg(F.min_by(F.struct("a", "n", "b"), "a").alias("first")), by)
 
     light = star(rows.where(f"kind = {LIGHT}"), "h").select(F.col("first.a").alias("b"), "a").where("a <> b")
     copies = known.join(sets.where("copies > 1"), ["sig_a", "sig_b", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     listed = rows.where(f"kind = {LISTED}")
-    small, large = F.least("n", "first.n"), F.greatest("n", "first.n")
-    stars = star(listed, "h").where(num * large <= den * small).select(F.least("a", "first.a").alias("a"), F.greatest("a", "first.a").alias("b"))
+
+    def may_link(x: str, y: str):
+        """Sizes, and what both sets still have from the shingle they share on, allow the overlap that is needed.
+        It holds where a linked pair's first common shingle is listed, so every such pair is found there."""
+        n, m, left, other = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}b", f"{y}b"))
+        return (num * F.greatest(n, m) <= den * F.least(n, m)) & ((num + den) * F.least(left, other) >= num * (n + m))
+
+    stars = star(listed, "h").where(may_link("", "first.")).select(F.least("a", "first.a").alias("a"), F.greatest("a", "first.a").alias("b"))
     pairs = rows.where(f"kind = {PAIR}").select("a", "b").union(stars).where("a <> b").distinct()
     edges = cut(reduce(DataFrame.union, [light.select("a", "b").distinct(), copies, verified(cut(pairs), source, n_words, num, den)]))
     roots = cut(components(edges))
 
     # lists whose members are not yet connected: the pairs between different components
-    rest = listed.join(roots, listed["a"] == roots["node"], "left").select("h", "a", "n", F.coalesce("root", "a").alias("root"))
+    rest = listed.join(roots, listed["a"] == roots["node"], "left").select("h", "a", "n", "b", F.coalesce("root", "a").alias("root"))
     open_lists = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     rest = rest.join(open_lists, "h", "left_semi")
     x, y = rest.alias("x"), rest.alias("y")
     across = (
-        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root"))
-            & (num * F.greatest("x.n", "y.n") <= den * F.least("x.n", "y.n")))
+        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & may_link("x.", "y."))
         .select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
