@@ -34,7 +34,7 @@ from pathweave.llm.words import Texts, runs, texts
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ANCHOR = 10  # words in an anchor
 SHARD = 1 << 15  # words of a reference in one automaton
-PER_BUCKET = 1 << 20
+PER_BUCKET = 1 << 22  # hashes that one group is to receive
 FLUSH = 1 << 20
 
 
@@ -123,7 +123,8 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     h, ids = _received(table)
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     last = np.append(at[1:], len(h)) - 1
-    return pa.table({"anchor": pa.array(h[at[ids[at] != ids[last]]].view(np.int64), pa.int64())})
+    shared = ids[at] != ids[last]
+    return pa.table({"anchor": pa.array(h[at[shared]].view(np.int64), pa.int64()), "places": pa.array((last - at + 1)[shared], pa.int64())})
 
 
 def _references(table: pa.Table) -> pa.Table:
@@ -218,12 +219,13 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     """d, text_hash, starts, ends: the words of each document that an earlier one has."""
     attach(docs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    # an upper bound of the words in all texts sets the number of groups
-    chars = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, chars // (64 * PER_BUCKET)), max(1, chars // (16 * PER_BUCKET))
-    anchors = source.mapInArrow(_sender(length, buckets[0], None), _SENT).groupBy("bucket").applyInArrow(_shared_anchors, "anchor long")
-    wanted = IdFilter(cut(anchors), "anchor")
-    found = source.mapInArrow(_sender(length, buckets[1], wanted), _SENT).groupBy("bucket").applyInArrow(_references, "d long, o long")
+    # the number of groups follows what they will hold: about one anchor per 64 bytes of text, 32 windows per shared anchor
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    anchors = source.mapInArrow(_sender(length, 1 + size // 64 // PER_BUCKET, None), _SENT).groupBy("bucket").applyInArrow(_shared_anchors, "anchor long, places long")
+    anchors = cut(anchors)
+    places = anchors.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    wanted = IdFilter(anchors, "anchor")
+    found = source.mapInArrow(_sender(length, 1 + 32 * places // PER_BUCKET, wanted), _SENT).groupBy("bucket").applyInArrow(_references, "d long, o long")
     pairs = cut(found.distinct())
     involved = IdFilter(pairs.select(F.explode(F.array("d", "o")).alias("id")).distinct(), "id")
 
