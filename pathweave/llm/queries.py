@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe, mixing, ngram_join, quality, substring, token_files, topk, toxicity, warc
+from pathweave.llm import bpe, licenses, mixing, ngram_join, quality, substring, token_files, topk, toxicity, warc
 from pathweave.llm.shared import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +67,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.fit(docs))
+    probability = F.round(F.array_max(F.transform("found", lambda x: x["probability"])), 6)
+    return found.select("doc_id", "n_paragraphs", F.array_join("families", ",").alias("families"), "unconfirmed", probability.alias("probability"))
+
+
 @query
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
