@@ -72,7 +72,7 @@ def words_of(texts: list[str]) -> Words:
             for k in range(1, n):
                 h = (h ^ (h >> np.uint64(15))) * _MULTIPLIERS[k] + c[k : k + size]
             h = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
-        lo = starts - 1
+        lo = np.minimum(starts - 1, len(h))
         grams.append((h, lo, np.maximum(ends + 2 - n, lo)))
     h, lo, hi = grams[0]
     sums = np.zeros(len(h) + 1, np.uint64)
