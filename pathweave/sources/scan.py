@@ -35,6 +35,14 @@ def missing_days(df: DataFrame, start: str, end: str, column: str = "dt") -> Dat
     return days.join(present, column, "left_anti")
 
 
+def partition_days(spark: SparkSession, path: str, column: str = "dt") -> DataFrame:
+    """Days that a partitioned folder has a directory for; only names are read, none if there is no folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{column}=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    names = [(f.getPath().getName().removeprefix(f"{column}="),) for f in found]
+    return spark.createDataFrame(names, f"{column} string")
+
+
 def bernoulli_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Random rows without replacement."""
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)

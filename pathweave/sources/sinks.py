@@ -1,5 +1,6 @@
 """Write results and stages."""
 
+import atexit
 import uuid
 from collections.abc import Sequence
 
@@ -28,12 +29,15 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_tsv(df: DataFrame, path: str, null: str | None = None, by: Sequence[str] = ()) -> None:
-    """Tab-separated text; ``null`` is how missing values are written (``\\N`` for warehouse loads)."""
+    """Tab-separated text; ``null`` is how missing values are written (``\\N`` for warehouse loads).
+
+    With ``by``, one directory per value; writing again replaces only the directories the rows belong to.
+    """
     writer = df.write.mode("overwrite").option("sep", "\t")
     if null is not None:
         writer = writer.option("nullValue", null).option("emptyValue", "")
     if by:
-        writer = writer.partitionBy(*by)
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*by)
     writer.csv(path)
 
 
@@ -44,17 +48,27 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage at the end, if the session is still there to do it."""
+    jvm = spark.sparkContext._jvm
+    if spark.sparkContext._jsc is None or jvm is None:
+        return
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stage(df: DataFrame, path: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Cut a plan: write ``df`` as a table and go on from what was written.
 
     With a ``path`` later jobs can read the table too; without, it goes to a new
-    folder under the session's checkpoint directory.  Either survives the loss
-    of executors, and later steps read only the columns they need.
+    folder under the session's checkpoint directory, which goes with the
+    session.  Either survives the loss of executors, and later steps read only
+    the columns they need.  A stage holds what was staged last, nothing older.
     """
     spark = df.sparkSession
-    path = path or f"{_checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
-    if by:
-        write_partitioned(df, path, by)
-    else:
-        write_parquet(df, path)
+    if path is None:
+        path = f"{_checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, path)
+    writer = df.hint("rebalance", *by).write.option("partitionOverwriteMode", "static").partitionBy(*by) if by else df.write
+    writer.mode("overwrite").parquet(path)
     return spark.read.option("basePath", path).schema(df.schema).parquet(path)

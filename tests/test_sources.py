@@ -61,6 +61,22 @@ def test_stage_with_and_without_a_path(spark, tmp_path):
     assert "stage-" in cut.inputFiles()[0]
 
 
+def test_rerun_of_one_day_keeps_the_others(spark, tmp_path):
+    out = str(tmp_path / "t")
+    sinks.write_tsv(days(spark), out, by=["dt"])
+    before = sorted(d for d in os.listdir(out) if d.startswith("dt="))
+    day = before[0].removeprefix("dt=")
+    sinks.write_tsv(days(spark).where(F.col("dt") == day), out, by=["dt"])
+    assert sorted(d for d in os.listdir(out) if d.startswith("dt=")) == before and len(before) > 1
+
+
+def test_stage_over_stage_holds_the_last(spark, tmp_path):
+    out = str(tmp_path / "s")
+    sinks.stage(days(spark), out, by=["dt"])
+    one = days(spark).limit(1)
+    assert sinks.stage(one, out, by=["dt"]).count() == 1
+
+
 def test_headerless_lookup(spark, tmp_path):
     path = tmp_path / "rocks.tsv"
     path.write_text("1\trock a\n2\trock b\n")
