@@ -12,6 +12,9 @@ from . import skew
 from .dedup import keep_first
 
 
+BROADCAST_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Window:
     """How far before its anchor a touch may lie.
@@ -68,6 +71,17 @@ def _in_window(window: Window, touch: Side, anchor: Side) -> Callable:
     return lambda a, b: window.accepts(a(touch.ts), a(touch.dt), b(anchor.ts), b(anchor.dt))
 
 
+def _in_buckets(
+    touches: DataFrame, anchors: DataFrame, window: Window, touch: Side, anchor: Side, bucket_seconds: int
+) -> tuple[DataFrame, DataFrame]:
+    first = F.floor((seconds(anchor.ts) - window.days * DAY) / bucket_seconds)
+    last = F.floor((seconds(anchor.ts) + window.grace) / bucket_seconds)
+    return (
+        touches.withColumn("_slot", F.floor(seconds(touch.ts) / bucket_seconds)),
+        anchors.withColumn("_aslot", F.explode(F.sequence(first, last))),
+    )
+
+
 def lookback_join(
     touches: DataFrame,
     anchors: DataFrame,
@@ -85,26 +99,23 @@ def lookback_join(
     ``bucket_seconds`` also cuts time: a touch falls in one bucket, an anchor is
     copied to every bucket its window reaches, so one key's history is spread
     over many tasks and far-apart rows are never compared.
-    ``broadcast_anchors`` is only for anchors known to be small.
+    ``broadcast_anchors`` broadcasts them if there are at most ``BROADCAST_ROWS``.
     """
     a = touches.withColumn("_key", usable_key(key.touch, key.kind)).where("_key IS NOT NULL")
     b = anchors.withColumn("_key", usable_key(key.anchor, key.kind)).where("_key IS NOT NULL")
     on = [("_key", "_akey")]
     b = b.withColumnRenamed("_key", "_akey")
     if bucket_seconds:
-        first = F.floor((seconds(anchor.ts) - window.days * DAY) / bucket_seconds)
-        last = F.floor((seconds(anchor.ts) + window.grace) / bucket_seconds)
-        a = a.withColumn("_slot", F.floor(seconds(touch.ts) / bucket_seconds))
-        b = b.withColumn("_aslot", F.explode(F.sequence(first, last)))
+        a, b = _in_buckets(a, b, window, touch, anchor, bucket_seconds)
         on.append(("_slot", "_aslot"))
-    if broadcast_anchors:
+    if broadcast_anchors and b.count() <= BROADCAST_ROWS:
         fits = window.accepts(*[F.col(c) for c in (touch.ts, touch.dt, anchor.ts, anchor.dt)])
         for l, r in on:
             fits = fits & (F.col(l) == F.col(r))
         pairs = a.join(F.broadcast(b), fits)
     else:
         pairs = skew.skew_join(
-            a, b, on, spread_by=touch.ids, condition=_in_window(window, touch, anchor),
+            a, b, on, spread_by=touch.ids, spread_right_by=anchor.ids, condition=_in_window(window, touch, anchor),
             share=share, min_rows=min_rows,
         )
     return pairs.drop("_key", "_akey", "_slot", "_aslot").withColumn("join_strategy", F.lit(key.name))
@@ -112,11 +123,9 @@ def lookback_join(
 
 def _by_key(df: DataFrame, columns: Sequence[tuple[int, str, str]], prio: str, value: str) -> DataFrame:
     """One row per usable key of a row: its rank and its value."""
-    found = F.filter(
-        F.array(*[F.struct(F.lit(i).alias(prio), usable_key(c, kind).alias(value)) for i, c, kind in columns]),
-        lambda s: s[value].isNotNull(),
-    )
-    return df.select("*", F.inline(found))
+    found = F.array(*[F.struct(F.lit(i).alias(prio), usable_key(c, kind).alias(value)) for i, c, kind in columns])
+    # no lambda here: equal plans of equal tables let Spark reuse one shuffle for all uses
+    return df.select("*", F.inline(found)).where(F.col(value).isNotNull())
 
 
 def link(
@@ -129,22 +138,28 @@ def link(
     tie_break: Sequence[Column] = (),
     share: float = skew.HOT_SHARE,
     min_rows: int = skew.HOT_ROWS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Look back by several keys and keep one row per (touch, anchor).
 
     ``keys`` come strongest first; ``join_strategy`` names the strongest key
     that made the match.  All keys go through one join: every row is listed
     once per usable key and (key rank, key value) is what is joined on.
+    ``bucket_seconds`` cuts time as in :func:`lookback_join`.
     """
     a = _by_key(touches, [(i, k.touch, k.kind) for i, k in enumerate(keys)], "_rank", "_key")
     b = _by_key(anchors, [(i, k.anchor, k.kind) for i, k in enumerate(keys)], "_arank", "_akey")
+    on = [("_rank", "_arank"), ("_key", "_akey")]
+    if bucket_seconds:
+        a, b = _in_buckets(a, b, window, touch, anchor, bucket_seconds)
+        on.append(("_slot", "_aslot"))
     matches = skew.skew_join(
-        a, b, [("_rank", "_arank"), ("_key", "_akey")], spread_by=touch.ids,
+        a, b, on, spread_by=touch.ids, spread_right_by=anchor.ids,
         condition=_in_window(window, touch, anchor), share=share, min_rows=min_rows,
     )
     best = keep_first(matches, [*touch.ids, *anchor.ids], [F.col("_rank"), *tie_break])
     names = F.array(*[F.lit(k.name) for k in keys])
-    return best.withColumn("join_strategy", names[F.col("_rank")]).drop("_rank", "_arank", "_key", "_akey")
+    return best.withColumn("join_strategy", names[F.col("_rank")]).drop("_rank", "_arank", "_key", "_akey", "_slot", "_aslot")
 
 
 def merge_matches(

@@ -1,11 +1,12 @@
-"""Equi-joins that survive a key owning a large share of the rows.
+"""Equi-joins that survive a key owning a large share of the rows, on either side.
 
-A key is *hot* when it owns more than ``share`` of the left rows (and more than
-``min_rows``).  There can be at most ``1 / share`` such keys, so their list is
-small whatever the size of the data and is safe to broadcast.  Left rows of a
-hot key are spread over parts by a hash of ``spread_by``; the right rows of the
-same key are copied to each part.  Left rows without a key cannot match and are
-spread as well.  The result is that of the plain join.
+A key is *hot* when it owns more than ``min_rows`` rows of a side.  The rows of a
+hot key are spread over parts of at most about that size by a hash of
+``spread_by``; the other side's rows of the key are copied to each part.  For an
+inner join both sides are spread, for the others only the left one can be.
+Left rows without a key cannot match and are spread by the whole hash.  The
+result is that of the plain join.  How many keys are hot grows with the data,
+so how their list is joined is left to Spark.
 """
 
 from collections.abc import Callable, Sequence
@@ -15,9 +16,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001
+HOT_SHARE = 0.0
 HOT_ROWS = 1_000_000
-NULL_PARTS = 1024
+NULL_PARTS = 2**31 - 1
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -27,9 +28,14 @@ def _any_null(keys: Sequence[str]) -> Column:
 def hot_keys(
     df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Hot keys of ``df`` with the number of parts each should be cut into."""
+    """Hot keys of ``df`` with the number of parts each should be cut into.
+
+    ``share`` also asks for that share of all rows.
+    """
     rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = F.greatest(rows.agg(F.sum("_rows")).scalar() * share, F.lit(float(min_rows)))
+    limit = F.lit(float(min_rows))
+    if share:
+        limit = F.greatest(rows.agg(F.sum("_rows")).scalar() * share, limit)
     return (
         rows.where(~_any_null(keys))
         .withColumn("_limit", limit)
@@ -38,6 +44,12 @@ def hot_keys(
     )
 
 
+def _hash(df: DataFrame, columns: Sequence[str] | None) -> Column:
+    """A hash of ``columns``, or of all that can be hashed (maps cannot)."""
+    able = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*(columns or able or [F.lit(0)]))
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -46,6 +58,7 @@ def skew_join(
     spread_by: Sequence[str] | None = None,
     condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     count_on: DataFrame | None = None,
+    spread_right_by: Sequence[str] | None = None,
     share: float = HOT_SHARE,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -63,26 +76,31 @@ def skew_join(
     keyed_left = left.withColumns({k: F.col(l) for k, (l, _) in zip(keys, on)})
     keyed_right = right.withColumns({k: F.col(r) for k, (_, r) in zip(keys, on)})
     counted = left if count_on is None else count_on
-    named = counted.select(*[F.col(l).alias(k) for k, (l, _) in zip(keys, on)])
-    hot = F.broadcast(hot_keys(named, keys, share, min_rows))
-
-    spread = F.xxhash64(*(spread_by or left.columns))
-    a = (
-        keyed_left.join(hot, keys, "left")
-        .withColumn(
-            "_part",
-            F.when(_any_null(keys), F.pmod(spread, F.lit(NULL_PARTS)))
-            .when(F.col("_parts").isNotNull(), F.pmod(spread, F.col("_parts")))
-            .otherwise(0)
-            .cast("int"),
+    hot = hot_keys(counted.select(*[F.col(l).alias(k) for k, (l, _) in zip(keys, on)]), keys, share, min_rows)
+    hot = hot.select(*keys, "_parts", F.lit(1).alias("_copies"))
+    if how == "inner":
+        there = hot_keys(right.select(*[F.col(r).alias(k) for k, (_, r) in zip(keys, on)]), keys, share, min_rows)
+        hot = (
+            hot.union(there.select(*keys, F.lit(1), "_parts"))
+            .groupBy(*keys)
+            .agg(F.max("_parts").alias("_parts"), F.max("_copies").alias("_copies"))
         )
-        .drop("_parts")
+    parts, copies = F.coalesce("_parts", F.lit(1)), F.coalesce("_copies", F.lit(1))
+    own, others = F.pmod(_hash(left, spread_by), parts), F.pmod(_hash(right, spread_right_by), copies)
+    # part i * copies + j: a left row is in one i and all j, a right row in one j and all i
+    a = keyed_left.join(hot, keys, "left").withColumn("_own", own)
+    if how == "inner":
+        a = a.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("_own", F.col("_own") * copies + F.col("_copy"))
+    a = (
+        a.withColumn("_part", F.when(_any_null(keys), F.pmod(_hash(left, spread_by), F.lit(NULL_PARTS))).otherwise(F.col("_own")).cast("int"))
+        .drop("_parts", "_copies", "_own", "_copy")
         .alias("a")
     )
     b = (
         keyed_right.join(hot, keys, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-        .drop("_parts")
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumn("_part", (F.col("_i") * copies + others).cast("int"))
+        .drop("_parts", "_copies", "_i")
         .alias("b")
     )
     match = F.col("a._part") == F.col("b._part")

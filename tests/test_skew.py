@@ -40,6 +40,20 @@ def test_hot_list_is_bounded(spark):
     assert set(hot) == {1} and hot[1] == 4  # 1020 of 3000 rows in parts of at most 300
 
 
+def test_both_sides_hot(spark):
+    left = spark.range(400).select("id", F.lit(1).alias("k"))
+    right = spark.range(300).select(F.col("id").alias("r"), F.when(F.col("id") < 200, 1).otherwise(2).alias("k2"))
+    joined = skew_join(left, right, [("k", "k2")], min_rows=50)
+    assert joined.count() == 400 * 200 == joined.distinct().count()
+
+
+def test_map_columns(spark):
+    left = spark.range(60).select("id", (F.col("id") % 3).alias("k"), F.create_map(F.lit("x"), "id").alias("m"))
+    right = spark.range(2).select(F.col("id").alias("k2"))
+    assert skew_join(left, right, [("k", "k2")], how="left_semi", min_rows=5).count() == 40
+    assert skew_join(left, right, [("k", "k2")], min_rows=5).count() == 40
+
+
 def test_right_and_full_are_refused(spark):
     left, right = tables(spark)
     with pytest.raises(ValueError):
