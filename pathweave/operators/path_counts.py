@@ -57,3 +57,22 @@ def ordered_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = batch["path"].str.len().to_numpy(dtype=np.int64)
         for part in _chunk(sizes):
             yield _ordered(batch["path_length"].to_numpy()[part], list(batch["path"][part]), sizes[part])
+
+
+def chunk_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (earlier, later) across the time chunks of each path, summed per path length.
+
+    A path comes as how often each channel occurs in each of its chunks.
+    """
+    for batch in batches:
+        found: dict[tuple[int, str, str], int] = {}
+        for length, chunk, path, times in zip(batch["path_length"], batch["chunk"], batch["path"], batch["times"]):
+            row, chunks = pd.factorize(np.asarray(chunk))
+            column, names = pd.factorize(np.asarray(path, dtype=object))
+            counts = np.zeros((len(chunks), len(names)), dtype=np.int64)
+            counts[row, column] = times
+            pairs = (counts.cumsum(axis=0) - counts).T @ counts
+            for i, j in zip(*np.nonzero(pairs)):
+                key = (int(length), names[i], names[j])
+                found[key] = found.get(key, 0) + int(pairs[i, j])
+        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["path_length", "channel_1", "channel_2", "n"])

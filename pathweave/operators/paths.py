@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .path_counts import ordered_counts
+from ..functions.clock import seconds
+from .path_counts import chunk_counts, ordered_counts
 from .skew import skew_join
 
 OUTCOME = ("transaction_id", "item_id")
@@ -31,6 +32,22 @@ def path_touches(
     ).agg(F.min(ts).alias("event_ts"))
 
 
+def path_lengths(touches: DataFrame, outcome: Sequence[str] = OUTCOME, event: str = "event_id") -> DataFrame:
+    """``path_length`` (distinct events) of each outcome; sums in two steps, so no path is gathered."""
+    return touches.select(*outcome, event).distinct().groupBy(*outcome).agg(F.count(F.lit(1)).alias("path_length"))
+
+
+def with_lengths(
+    touches: DataFrame, max_length: int | None = None, outcome: Sequence[str] = OUTCOME, event: str = "event_id"
+) -> DataFrame:
+    """Touches with the ``path_length`` of their outcome; with ``max_length`` only those of outcomes up to it."""
+    if max_length is not None:
+        return short_paths(touches, max_length, outcome, event)
+    lengths = path_lengths(touches, outcome, event).withColumnsRenamed({c: f"_{c}" for c in outcome})
+    joined = skew_join(touches, lengths, [(c, f"_{c}") for c in outcome], how="left")
+    return joined.select(*touches.columns, "path_length")
+
+
 def short_paths(
     touches: DataFrame, max_length: int, outcome: Sequence[str] = OUTCOME, event: str = "event_id"
 ) -> DataFrame:
@@ -67,20 +84,20 @@ def build_paths(
 
 
 def unordered_pairs(
-    touches: DataFrame, max_length: int = 60, outcome: Sequence[str] = OUTCOME
+    touches: DataFrame, max_length: int | None = None, outcome: Sequence[str] = OUTCOME
 ) -> DataFrame:
     """Channel pairs (names sorted) over all pairs of touches, per path length.
 
     Worked out from how often each channel occurs in a path: ``n1 * n2`` for
     two channels and ``n (n - 1) / 2`` for one, so touches are never paired.
+    Paths of any length count; ``max_length`` leaves longer ones out.
     """
-    histograms = (
-        short_paths(touches, max_length, outcome)
-        .groupBy(*outcome, "path_length", "channel_name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*outcome, "path_length")
-        .agg(F.sort_array(F.collect_list(F.struct("channel_name", "n"))).alias("h"))
+    counts = touches.groupBy(*outcome, "channel_name").agg(F.count(F.lit(1)).alias("n"))
+    histograms = counts.groupBy(*outcome).agg(F.sort_array(F.collect_list(F.struct("channel_name", "n"))).alias("h")).join(
+        path_lengths(touches, outcome), list(outcome)
     )
+    if max_length is not None:
+        histograms = histograms.where(F.col("path_length") <= max_length)
 
     def with_itself_and_later(one: Column, i: Column) -> Column:
         return F.transform(
@@ -100,17 +117,30 @@ def unordered_pairs(
 
 
 def ordered_pairs(
-    touches: DataFrame, max_length: int = 1000, outcome: Sequence[str] = OUTCOME
+    touches: DataFrame, max_length: int | None = None, outcome: Sequence[str] = OUTCOME, chunk_seconds: int = 3600
 ) -> DataFrame:
     """Pairs (earlier channel, later channel) over all pairs of touches, per path length.
 
     Needs a running count per channel along each path, which array functions
     can only do one pair of channels at a time; so each task counts its own
-    paths with numpy, and only sums per (path length, pair) are shuffled.
+    paths with numpy, and only sums per (path length, pair) are shuffled.  A
+    path may be arbitrarily long, so it is cut into chunks of time: pairs within a
+    chunk are counted on its touches, pairs across chunks on the chunks'
+    channel counts.  ``max_length`` leaves longer paths out.
     """
-    paths = build_paths(touches, max_length, outcome).select("path_length", F.col("touches.channel_name").alias("path"))
-    counted = paths.mapInPandas(ordered_counts, "path_length bigint, channel_1 string, channel_2 string, n bigint")
-    return _sum_pairs(counted)
+    rows = with_lengths(touches, max_length, outcome).withColumn("_chunk", F.floor(seconds("event_ts") / chunk_seconds))
+    step = F.struct("event_ts", "event_id", "channel_name")
+    chunk = [*outcome, "path_length", "_chunk"]
+    within = rows.groupBy(*chunk).agg(F.sort_array(F.collect_list(step)).alias("t"))
+    schema = "path_length bigint, channel_1 string, channel_2 string, n bigint"
+    inside = within.select("path_length", F.col("t.channel_name").alias("path")).mapInPandas(ordered_counts, schema)
+    counts = rows.groupBy(*chunk, "channel_name").agg(F.count(F.lit(1)).alias("n"))
+    chunks = counts.groupBy(*outcome, "path_length").agg(F.sort_array(F.collect_list(F.struct("_chunk", "channel_name", "n"))).alias("h"))
+    several = chunks.where(F.col("h")[0]["_chunk"] < F.element_at("h", -1)["_chunk"])
+    across = several.select(
+        "path_length", F.col("h._chunk").alias("chunk"), F.col("h.channel_name").alias("path"), F.col("h.n").alias("times")
+    ).mapInPandas(chunk_counts, schema)
+    return _sum_pairs(inside.union(across))
 
 
 def _sum_pairs(pairs: DataFrame) -> DataFrame:

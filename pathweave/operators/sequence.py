@@ -7,19 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import seconds
-from .paths import OUTCOME, short_paths
+from .paths import OUTCOME, short_paths, with_lengths
 
 
 def _local(touches: DataFrame, within: Sequence[str], ts: str, tie_break: str) -> DataFrame:
     group = W.partitionBy(*within)
     by_time = group.orderBy(ts, tie_break)
-    return touches.withColumns(
-        {
-            "previous": F.lag("_row").over(by_time),
-            "next": F.lead("_row").over(by_time),
-            "forward_step": F.rank().over(group.orderBy(ts)),
-            "backward_step": F.rank().over(group.orderBy(F.col(ts).desc())),
-        }
+    so_far = group.orderBy(ts).rangeBetween(W.unboundedPreceding, W.currentRow)
+    # one sort serves all: the order by time alone is a prefix, and the rank from the end follows from a running count
+    return (
+        touches.withColumns({"previous": F.lag("_row").over(by_time), "next": F.lead("_row").over(by_time)})
+        .withColumns({"forward_step": F.rank().over(group.orderBy(ts)), "_so_far": F.count(F.lit(1)).over(so_far)})
+        .withColumn("backward_step", F.count(F.lit(1)).over(group) - F.col("_so_far") + 1)
+        .drop("_so_far")
     )
 
 
@@ -39,7 +39,7 @@ def with_neighbours(
     A path may be arbitrarily long, so it is worked on in chunks of time: ranks
     and neighbours inside a chunk, then the few rows describing whole chunks
     supply what lies across a chunk's border.  ``touches`` is read twice for
-    that; hand in a stored table.  For paths known to be short
+    that.  The busiest chunk of one path is one group.  For paths known to be short
     ``chunk_seconds=None`` does without.
     """
     rows = touches.withColumn("_row", F.struct(*current))
@@ -84,14 +84,29 @@ def weighted_edges(
     ).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def chrono_steps(
+    touches: DataFrame, current: Sequence[str], outcome: Sequence[str] = OUTCOME, attributes: Sequence[str] = ()
+) -> DataFrame:
+    """One row per event of each outcome, with both neighbours, its steps and the ``path_length``.
+
+    Events are those of paths of any length; a path is never gathered.
+    """
+    steps = with_neighbours(with_lengths(touches, outcome=outcome), current, outcome)
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("previous", "next") for c in current]
+    return steps.select(*outcome, *attributes, "path_length", "event_ts", "event_id", *current, *sides, "backward_step", "forward_step")
+
+
 def chrono_events(
     touches: DataFrame,
     current: Sequence[str],
-    max_length: int = 100,
+    max_length: int,
     outcome: Sequence[str] = OUTCOME,
     attributes: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per outcome with its events in order, each with both neighbours and steps."""
+    """One row per outcome of at most ``max_length`` events, these in order with both neighbours and steps.
+
+    A list needs a bound; :func:`chrono_steps` has the events of all outcomes.
+    """
     steps = with_neighbours(short_paths(touches, max_length, outcome), current, outcome, chunk_seconds=None)
 
     def names(side: str) -> list[Column]:

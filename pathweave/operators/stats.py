@@ -83,33 +83,40 @@ def _log_choose(n: float, k: float) -> float:
 
 
 def _tail_sum(start: int, stop: int, step: int, n1: int, n2: int, n: int) -> float:
-    """Sum of hypergeometric probabilities from ``start`` outwards.
+    """Sum of hypergeometric probabilities from ``start`` outwards, away from the mode.
 
-    Terms follow from one another by a ratio, and fall once past the mode, so
-    the sum may end when a term no longer changes it.
+    Terms follow from one another by a ratio and fall all the way, so the sum
+    ends when a term no longer changes it: after some standard deviations.
     """
     total, k = 0.0, start
     log_p = _log_choose(n2, k) + _log_choose(n - n2, n1 - k) - _log_choose(n, n1)
-    mode = (n1 + 1) * (n2 + 1) / (n + 2)
     while True:
         total += math.exp(log_p)
-        if k == stop:
-            break
+        if k == stop or log_p < -745 or math.exp(log_p) < total * 1e-17:
+            return min(total, 1.0)
         if step > 0:
             ratio = (n2 - k) * (n1 - k) / ((k + 1) * (n - n2 - n1 + k + 1))
         else:
             ratio = k * (n - n2 - n1 + k) / ((n2 - k + 1) * (n1 - k + 1))
-        if (k - mode) * step > 1 and (log_p < -745 or math.exp(log_p) < total * 1e-17):
-            break
         log_p += math.log(ratio)
         k += step
-    return min(total, 1.0)
 
 
-def _tests(observed: int, n1: int, n2: int, n: int) -> tuple[float, float, float | None, bool]:
+def _tails(observed: int, n1: int, n2: int, n: int) -> tuple[float, float]:
+    """P(X <= observed) and P(X >= observed): one tail is summed away from the mode, the other is what is left."""
     low, high = max(0, n1 + n2 - n), min(n1, n2)
-    p_lt = _tail_sum(observed, low, -1, n1, n2, n)
-    p_gt = _tail_sum(observed, high, 1, n1, n2, n)
+    mode = (n1 + 1) * (n2 + 1) // (n + 2)
+    if observed <= mode:
+        below = _tail_sum(observed, low, -1, n1, n2, n)
+        less = _tail_sum(observed - 1, low, -1, n1, n2, n) if observed > low else 0.0
+        return below, max(0.0, 1.0 - less)
+    above = _tail_sum(observed, high, 1, n1, n2, n)
+    more = _tail_sum(observed + 1, high, 1, n1, n2, n) if observed < high else 0.0
+    return max(0.0, 1.0 - more), above
+
+
+def _tests(observed: int, n1: int, n2: int, n: int) -> tuple[float, float, float | None, bool]:
+    p_lt, p_gt = _tails(observed, n1, n2, n)
     cells = (
         (observed, n1 * n2 / n),
         (n1 - observed, n1 * (n - n2) / n),

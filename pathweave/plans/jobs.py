@@ -109,6 +109,16 @@ def export_organic_touches(spark: SparkSession, sessions_path: str, out: str, st
     sinks.write_tsv(organic_touches(days), out, null="\\N", by=["dt"])
 
 
+def backfill_organic_touches(spark: SparkSession, sessions_path: str, out: str, start: str, end: str) -> list[str]:
+    """Export just the days of the range that ``out`` does not have yet; returns them."""
+    written = scan.partition_days(spark, out, "dt")
+    missing = sorted(str(r["dt"]) for r in scan.missing_days(written, start, end, "dt").collect())
+    if missing:
+        days = scan.scan(spark, sessions_path).where(F.col("session_start_dt").cast("date").cast("string").isin(missing))
+        sinks.write_tsv(organic_touches(days), out, null="\\N", by=["dt"])
+    return missing
+
+
 def correlate_checkouts(
     spark: SparkSession,
     touches_path: str,
@@ -442,13 +452,13 @@ def transition_edges(spark: SparkSession, linked_path: str, big_rocks_path: str,
 
 
 def event_lists(spark: SparkSession, linked_path: str, big_rocks_path: str, out: str, paid_only: bool = False) -> None:
-    """Chronological events of each checkout with their neighbours."""
+    """Chronological events of each checkout with their neighbours, one row each; paths of any length."""
     configure(spark)
     rows = path_steps(scan.scan(spark, linked_path), lookups.read_tsv_lookup(spark, big_rocks_path))
     if paid_only:
         rows = rows.where(~F.col("channel_name").isin(*v.ORGANIC_CHANNELS))
     sinks.write_parquet(
-        sequence.chrono_events(rows, ("channel_name", "sub_channel"), attributes=TRANSACTION), out
+        sequence.chrono_steps(rows, ("channel_name", "sub_channel"), attributes=TRANSACTION), out
     )
 
 
@@ -461,6 +471,5 @@ def mobile_only(spark: SparkSession, linked_path: str, out: str) -> None:
 def match_followers(listings: DataFrame, followers: DataFrame) -> DataFrame:
     """Listings of a seller and category with everybody following both."""
     return skew_join(
-        listings, followers, [("slr_id", "flwd_user_id"), ("elig_leaf_categ_id", "leaf_categ_id")],
-        spread_by=listings.columns,
+        listings, followers, [("slr_id", "flwd_user_id"), ("elig_leaf_categ_id", "leaf_categ_id")]
     )

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import encode, paths, sequence
-from ..sources.sinks import stage
 from . import bindings as b
 from .jobs import CURRENT, TRANSACTION, by_intent, path_steps
 from .link_queries import merged, merged_sql
@@ -23,6 +22,14 @@ def _touches(spark, sf):
 
 @query(
     "path_build",
+    merged_sql("SELECT transaction_id, item_id, path_length, event_ts, event_id, channel_name FROM pt JOIN plen USING (transaction_id, item_id)", extra=_TOUCHES),
+)
+def path_build(spark, sf):
+    return paths.with_lengths(_touches(spark, sf)).select(*paths.OUTCOME, "path_length", "event_ts", "event_id", "channel_name")
+
+
+@query(
+    "path_build_100",
     merged_sql(
         """SELECT transaction_id, item_id, path_length,
            string_agg(cast(event_id AS VARCHAR) || ':' || channel_name, ';' ORDER BY event_ts, event_id, channel_name) AS path
@@ -30,13 +37,13 @@ def _touches(spark, sf):
         extra=_TOUCHES,
     ),
 )
-def path_build(spark, sf):
+def path_build_100(spark, sf):
     built = paths.build_paths(_touches(spark, sf), 100)
     text = F.transform("touches", lambda t: F.concat_ws(":", t["event_id"].cast("string"), t["channel_name"]))
     return built.select(*paths.OUTCOME, "path_length", F.array_join(text, ";").alias("path"))
 
 
-def _pairs_sql(limit: int, unordered: bool) -> dict[str, str]:
+def _pairs_sql(unordered: bool, limit: int | None = None) -> dict[str, str]:
     one, two = ("least(a.channel_name, b.channel_name)", "greatest(a.channel_name, b.channel_name)") if unordered else ("a.channel_name", "b.channel_name")
     return {
         **_TOUCHES,
@@ -44,20 +51,30 @@ def _pairs_sql(limit: int, unordered: bool) -> dict[str, str]:
         JOIN pt b ON a.transaction_id = b.transaction_id AND a.item_id = b.item_id
              AND (a.event_ts, a.event_id, a.channel_name) < (b.event_ts, b.event_id, b.channel_name)
         JOIN plen ON plen.transaction_id = a.transaction_id AND plen.item_id = a.item_id
-        WHERE path_length <= {limit} GROUP BY ALL""",
+        {"" if limit is None else f"WHERE path_length <= {limit}"} GROUP BY ALL""",
     }
 
 
 _PAIR_COLUMNS = "SELECT path_length, channel_1, channel_2, n FROM pairs"
 
 
-@query("pairs_unordered", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(60, True)))
+@query("pairs_unordered", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(True)))
 def pairs_unordered(spark, sf):
+    return paths.unordered_pairs(_touches(spark, sf))
+
+
+@query("pairs_unordered_60", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(True, 60)))
+def pairs_unordered_60(spark, sf):
     return paths.unordered_pairs(_touches(spark, sf), 60)
 
 
-@query("pairs_ordered", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(1000, False)))
+@query("pairs_ordered", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(False)))
 def pairs_ordered(spark, sf):
+    return paths.ordered_pairs(_touches(spark, sf))
+
+
+@query("pairs_ordered_1000", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(False, 1000)))
+def pairs_ordered_1000(spark, sf):
     return paths.ordered_pairs(_touches(spark, sf), 1000)
 
 
@@ -66,38 +83,48 @@ def pairs_ordered(spark, sf):
     merged_sql(
         """SELECT path_length, string_agg('(' || channel_1 || ',' || channel_2 || ') -> ' || cast(n AS VARCHAR), ';' ORDER BY channel_1, channel_2) AS coocurence_pairs
            FROM pairs GROUP BY path_length""",
-        extra=_pairs_sql(1000, False),
+        extra=_pairs_sql(False),
     ),
 )
 def pairs_serialised(spark, sf):
     return paths.serialise_pairs(pairs_ordered(spark, sf))
 
 
-@query("pairs_parsed", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(60, True)))
+@query("pairs_parsed", merged_sql(_PAIR_COLUMNS, extra=_pairs_sql(True)))
 def pairs_parsed(spark, sf):
     return paths.parse_pairs(paths.serialise_pairs(pairs_unordered(spark, sf)))
 
 
-@query(
-    "pair_asymmetry",
-    merged_sql(
+def _asymmetry_sql(where: str) -> str:
+    return merged_sql(
         """SELECT c1.c AS channel_1, c2.c AS channel_2, coalesce(a.n, 0) AS occurence, coalesce(a.n, 0) - coalesce(b.n, 0) AS difference,
            CAST(sign(coalesce(a.n, 0) - coalesce(b.n, 0)) AS INT) AS comparison,
            round((coalesce(a.n, 0) - coalesce(b.n, 0)) / greatest(coalesce(a.n, 0) + coalesce(b.n, 0), 1)::DOUBLE, 6) AS relative_difference
            FROM ch c1 CROSS JOIN ch c2 LEFT JOIN tot a ON a.channel_1 = c1.c AND a.channel_2 = c2.c
            LEFT JOIN tot b ON b.channel_1 = c2.c AND b.channel_2 = c1.c""",
         extra={
-            **_pairs_sql(1000, False),
-            "tot": "SELECT channel_1, channel_2, CAST(sum(n) AS BIGINT) AS n FROM pairs WHERE path_length = 40 GROUP BY ALL",
+            **_pairs_sql(False),
+            "tot": f"SELECT channel_1, channel_2, CAST(sum(n) AS BIGINT) AS n FROM pairs {where} GROUP BY ALL",
             "ch": "SELECT channel_1 AS c FROM tot UNION SELECT channel_2 FROM tot",
         },
-    ),
-)
-def pair_asymmetry(spark, sf):
-    table = paths.pair_asymmetry(pairs_ordered(spark, sf), path_length=40)
+    )
+
+
+def _asymmetry(spark, sf, path_length=None):
+    table = paths.pair_asymmetry(pairs_ordered(spark, sf), path_length)
     return table.withColumn("relative_difference", F.round("relative_difference", 6))
 
 
+@query("pair_asymmetry", _asymmetry_sql(""))
+def pair_asymmetry(spark, sf):
+    return _asymmetry(spark, sf)
+
+
+@query("pair_asymmetry_40", _asymmetry_sql("WHERE path_length = 40"))
+def pair_asymmetry_40(spark, sf):
+    return _asymmetry(spark, sf, 40)
+
+
 _TOKEN = """coalesce(channel_name, 'unassigned') || '#' ||
     CASE WHEN event_type_id IN (1,5,7,8) THEN 'click' WHEN event_type_id = 4 THEN 'impression' WHEN event_type_id = 6 THEN 'open' ELSE 'undefined' END
     || '#' || CASE WHEN event_type_id = 4 AND channel_id = 1 AND device_type_level1 IS NULL THEN 'PC' ELSE coalesce(device_type_level1, 'unknown') END"""
@@ -203,10 +230,6 @@ def _info(spark, sf):
     return path_steps(merged(spark, sf), b.rotation_lookup(spark, sf))
 
 
-def _stored_info(spark, sf):
-    return stage(_info(spark, sf))
-
-
 @query(
     "path_neighbours",
     merged_sql(
@@ -214,7 +237,7 @@ def _stored_info(spark, sf):
     ),
 )
 def path_neighbours(spark, sf):
-    return sequence.with_neighbours(_stored_info(spark, sf), CURRENT).select(
+    return sequence.with_neighbours(_info(spark, sf), CURRENT).select(
         "transaction_id", "event_id", F.col("previous.channel_name").alias("previous_channel_name"),
         F.col("next.channel_name").alias("next_channel_name"), "forward_step", "backward_step",
     )
@@ -229,12 +252,26 @@ def path_neighbours(spark, sf):
     ),
 )
 def weighted_edges(spark, sf):
-    edges = sequence.weighted_edges(sequence.with_neighbours(_stored_info(spark, sf), CURRENT), TRANSACTION, CURRENT)
+    edges = sequence.weighted_edges(sequence.with_neighbours(_info(spark, sf), CURRENT), TRANSACTION, CURRENT)
     return edges.select("transaction.*", "current.*", *[F.col(f"next.{c}").alias(f"next_{c}") for c in CURRENT], "step", "weight")
 
 
 @query(
     "chrono_events",
+    merged_sql(
+        """SELECT transaction_id, item_id, fm_buyer_type_desc, is_first_purchase, bbowa_device, path_length, event_id, channel_name, sub_channel,
+           previous_channel_name, next_channel_name, backward_step, forward_step
+           FROM steps JOIN (SELECT transaction_id, item_id, count(DISTINCT event_id) AS path_length FROM info GROUP BY ALL) USING (transaction_id, item_id)""",
+        "rotation", extra=_STEPS,
+    ),
+)
+def chrono_events(spark, sf):
+    steps = sequence.chrono_steps(_info(spark, sf), ("channel_name", "sub_channel"), attributes=TRANSACTION)
+    return steps.drop("event_ts", "previous_sub_channel", "next_sub_channel")
+
+
+@query(
+    "chrono_events_100",
     merged_sql(
         """SELECT transaction_id, item_id, fm_buyer_type_desc, is_first_purchase, bbowa_device, count(DISTINCT event_id) AS path_length,
            string_agg(concat_ws('|', cast(event_id AS VARCHAR), channel_name, coalesce(previous_channel_name, '-'), cast(backward_step AS VARCHAR),
@@ -243,7 +280,7 @@ def weighted_edges(spark, sf):
         "rotation", extra=_STEPS,
     ),
 )
-def chrono_events(spark, sf):
+def chrono_events_100(spark, sf):
     lists = sequence.chrono_events(_info(spark, sf), ("channel_name", "sub_channel"), 100, attributes=TRANSACTION)
     text = F.transform(
         "mktng_events",
@@ -255,15 +292,32 @@ def chrono_events(spark, sf):
     return lists.select(*paths.OUTCOME, *TRANSACTION, "path_length", F.array_join(text, ";").alias("events"))
 
 
+_PAID = "channel_name NOT IN ('organic', 'site_emails')"
+
+
 @query(
     "paid_events",
+    merged_sql(
+        f"""SELECT transaction_id, item_id, path_length, event_ts, event_id, channel_name FROM info
+            JOIN (SELECT transaction_id, item_id, count(DISTINCT event_id) AS path_length FROM info WHERE {_PAID} GROUP BY ALL) USING (transaction_id, item_id)
+            WHERE {_PAID}""",
+        "rotation", extra=_STEPS,
+    ),
+)
+def paid_events(spark, sf):
+    paid = _info(spark, sf).where(~F.col("channel_name").isin("organic", "site_emails"))
+    return paths.with_lengths(paid).select(*paths.OUTCOME, "path_length", "event_ts", "event_id", "channel_name")
+
+
+@query(
+    "paid_events_100",
     merged_sql(
         """SELECT transaction_id, count(DISTINCT event_id) AS path_length, string_agg(channel_name, ';' ORDER BY event_ts, event_id) AS channels
            FROM info WHERE channel_name NOT IN ('organic', 'site_emails') GROUP BY transaction_id HAVING count(DISTINCT event_id) <= 100""",
         "rotation", extra=_STEPS,
     ),
 )
-def paid_events(spark, sf):
+def paid_events_100(spark, sf):
     paid = _info(spark, sf).where(~F.col("channel_name").isin("organic", "site_emails"))
     built = paths.build_paths(paid, 100)
     return built.select("transaction_id", "path_length", F.array_join("touches.channel_name", ";").alias("channels"))

@@ -1,5 +1,8 @@
 """The whole jobs on small stored tables."""
 
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,7 +132,7 @@ def test_path_jobs(spark, store, tmp_path):
     total = spark.read.parquet(f"{tmp_path}/edges").agg(F.sum("weight")).first()[0]
     assert total == spark.read.parquet(linked).where("event_type_id <> 4").count()
     jobs.event_lists(spark, linked, f"{store}/rocks", f"{tmp_path}/lists", paid_only=True)
-    assert spark.read.parquet(f"{tmp_path}/lists").where("path_length <> size(mktng_events)").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/lists").groupBy("transaction_id", "item_id", "path_length").agg(F.countDistinct("event_id").alias("n")).where("n <> path_length").count() == 0
     jobs.mobile_only(spark, linked, f"{tmp_path}/mobile")
     assert spark.read.parquet(f"{tmp_path}/mobile").where("device_type_level1 <> 'Mobile'").count() == 0
 
@@ -139,3 +142,14 @@ def test_organic_export(spark, store, tmp_path):
     back = spark.read.csv(f"{tmp_path}/organic", sep="\t")
     assert back.count() == spark.read.parquet(f"{store}/sessions").where("traffic_source_id in (1,2,3)").count()
     assert "\\N" in tuple(back.first())
+
+
+def test_organic_backfill_writes_only_missing_days(spark, store, tmp_path):
+    out = f"{tmp_path}/organic"
+    jobs.export_organic_touches(spark, f"{store}/sessions", out, START, END)
+    days = sorted(d for d in os.listdir(out) if d.startswith("dt="))
+    gone = days[0]
+    shutil.move(f"{out}/{gone}", f"{tmp_path}/{gone}")
+    done = jobs.backfill_organic_touches(spark, f"{store}/sessions", out, START, END)
+    assert gone.removeprefix("dt=") in done and not set(done) & {d.removeprefix("dt=") for d in days[1:]}
+    assert sorted(d for d in os.listdir(out) if d.startswith("dt=")) == days
