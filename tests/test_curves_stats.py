@@ -1,4 +1,5 @@
 import math
+import time
 from fractions import Fraction
 
 import pytest
@@ -134,6 +135,16 @@ def test_large_tables_finish():
     assert 0.4 < p_lt < 0.6 and 0.4 < p_gt < 0.6 and p > 0.9
 
 
+def test_tails_far_from_the_mode_are_short_sums():
+    """A count 10**8 away from the mode at a billion paths: the sum runs away from the mode, the other tail is the rest."""
+    start = time.perf_counter()
+    for observed in (150_000_000, 350_000_000, 250_010_000, 249_990_000):
+        p_lt, p_gt, _, _ = _tests(observed, 500_000_000, 500_000_000, 1_000_000_000)
+        assert 0 <= p_lt <= 1 and 0 <= p_gt <= 1 and abs(p_lt + p_gt - 1) < 1e-3
+        assert (p_lt < 0.5) == (observed < 250_000_000)
+    assert time.perf_counter() - start < 1
+
+
 def test_pair_tests_on_spark(spark):
     table = kinds(spark, [(["a", "b"], 30), (["a"], 20), (["b"], 10), (["c"], 40)])
     r = stats.pair_tests(stats.contingency(table)).where("channel_1 = 'a' and channel_2 = 'b'").first()
