@@ -389,7 +389,9 @@ def encode_channels(spark: SparkSession, linked_path: str, encoder_out: str, out
     named = labels.with_defaults(linked.select(*paths.OUTCOME, "channel_name"), {"channel_name": "Unassigned"})
     rows = named.distinct()
     encoder = store_encoder(encode.mask_encoder(rows, "channel_name"), encoder_out)
-    sinks.write_tsv(encode.channel_masks(rows, encoder, "channel_name"), out)
+    masks = encode.channel_masks(rows, encoder, "channel_name")
+    # one number up to 63 channels, then one per 63 with commas between
+    sinks.write_tsv(masks.withColumn("channel_mask", F.array_join(F.col("mask_words").cast("array<string>"), ",")).drop("mask_words"), out)
 
 
 def encode_tokens(

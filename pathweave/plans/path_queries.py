@@ -161,13 +161,13 @@ def _channels(spark, sf):
 
 @query("mask_encoder", merged_sql("SELECT channel_name, n, 1::BIGINT << n AS mask FROM enc", extra=_MASK_VIEWS))
 def mask_encoder(spark, sf):
-    return encode.mask_encoder(_channels(spark, sf), "channel_name")
+    return encode.mask_encoder(_channels(spark, sf), "channel_name").drop("word")
 
 
 @query("channel_mask", merged_sql("SELECT transaction_id, item_id, channel_mask FROM masks", extra=_MASK_VIEWS))
 def channel_mask(spark, sf):
     rows = _channels(spark, sf)
-    return encode.channel_masks(rows, encode.mask_encoder(rows, "channel_name"), "channel_name")
+    return encode.channel_masks(rows, encode.mask_encoder(rows, "channel_name"), "channel_name").drop("mask_words")
 
 
 @query(
@@ -182,7 +182,7 @@ def mask_matrix(spark, sf):
     rows = _channels(spark, sf)
     encoder = encode.mask_encoder(rows, "channel_name")
     masks = encode.channel_masks(rows, encoder, "channel_name")
-    return encode.mask_matrix(masks, encoder, "channel_name", excluded=["Display"])
+    return encode.mask_matrix(masks, encoder, "channel_name", excluded=["Display"]).drop("mask_words")
 
 
 _PRESENCE = """SELECT o.transaction_id, o.item_id, string_agg(CASE WHEN t.token IS NULL THEN '0' ELSE '1' END, '' ORDER BY e.n) AS presence

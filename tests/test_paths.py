@@ -151,12 +151,25 @@ def test_encoder_ties_by_name(spark):
     assert {r.t: r.n for r in encode.frequency_encoder(df, "t").collect()} == {"c": 0, "a": 1, "b": 2}
 
 
-def test_mask_limits(spark):
-    forty = spark.range(40).select(F.concat(F.lit("t"), "id").alias("t"))
-    assert encode.mask_encoder(forty, "t").agg(F.max("mask")).first()[0] == 2**39
-    assert encode.mask_encoder(spark.range(63).select(F.col("id").cast("string").alias("t")), "t").agg(F.max("mask")).first()[0] == 2**62
-    with pytest.raises(Exception, match="63 tokens"):
-        encode.mask_encoder(spark.range(64).select(F.col("id").cast("string").alias("t")), "t").collect()
+def test_any_number_of_channels(spark):
+    """200 channels: four words of mask, presence strings of 200 places, and a matrix that agrees with both."""
+    df = spark.range(200).select(
+        F.explode(F.array(F.col("id") % 7, F.lit(99))).alias("transaction_id"), F.lit(1).cast("bigint").alias("item_id"), F.format_string("t%03d", "id").alias("t")
+    ).where("transaction_id <> 99 or t < 't100'")
+    encoder = encode.mask_encoder(df, "t")
+    place = {r.t: r.n for r in encoder.collect()}
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.transaction_id, set()).add(place[r.t])
+    masks = encode.channel_masks(df, encoder, "t")
+    got = {r.transaction_id: {63 * w + k for w, m in enumerate(r.mask_words) for k in range(63) if m >> k & 1} for r in masks.collect()}
+    assert got == want and masks.where("size(mask_words) = 1").select("channel_mask").where("channel_mask is null").count() == 0
+    strings = {r.transaction_id: r.presence for r in encode.presence_strings(df, encoder, "t").collect()}
+    assert strings == {i: "".join("1" if n in s else "0" for n in range(200)) for i, s in want.items()}
+    matrix = encode.mask_matrix(masks, encoder, "t")
+    assert matrix.count() == 200 * len(want) and matrix.agg(F.sum("present")).first()[0] == sum(map(len, want.values()))
+    forty = encode.mask_encoder(spark.range(40).select(F.concat(F.lit("t"), "id").alias("t")), "t")
+    assert forty.agg(F.max("mask"), F.max("word")).first() == (2**39, 0)
 
 
 def test_mask_has_one_bit_per_channel(spark):
@@ -171,11 +184,3 @@ def test_presence(spark):
     encoder = encode.frequency_encoder(df, "channel_name")
     got = {r.transaction_id: r.presence for r in encode.presence_strings(df, encoder, "channel_name").collect()}
     assert got == {1: "110", 2: "100", 3: "001"}
-
-
-def test_too_many_tokens_are_refused(spark, monkeypatch):
-    df = matches(spark, (1, 1, "a"), (1, 2, "b"), (2, 3, "a"))
-    encoder = encode.frequency_encoder(df, "channel_name")
-    monkeypatch.setattr(encode, "MAX_TOKENS", 1)
-    with pytest.raises(Exception, match="presence string"):
-        encode.presence_strings(df, encoder, "channel_name").collect()
