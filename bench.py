@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from pathweave.plans import catalog  # noqa: E402
+from pathweave.plans.session import configure  # noqa: E402
 
 HEADLINE = (
     "lookback_uid",
@@ -49,13 +50,12 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
-        # the tables are one unsplit file each: only a shuffle brings the look-back joins to all cores
-        .config("spark.sql.autoBroadcastJoinThreshold", "200k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    configure(spark)
 
     def timed(name: str) -> float:
         start = time.perf_counter()

@@ -131,9 +131,10 @@ def average_clicks_by(
     by: str = "channel_name",
     outcome: Sequence[str] = OUTCOME,
 ) -> DataFrame:
-    """Touches per distinct linked outcome, one column per value of ``segment``."""
-    per_outcome = matches.groupBy(by, segment, *outcome).agg(F.count(F.lit(1)).alias("_n"))
-    return per_outcome.groupBy(by).pivot(segment, list(segments)).agg(F.avg("_n"))
+    """Touches per distinct linked outcome, one column per value of ``segment`` and ``unknown`` for outcomes with none or another."""
+    named = matches.withColumn(segment, F.when(F.col(segment).isin(*segments), F.col(segment)).otherwise("unknown"))
+    per_outcome = named.groupBy(by, segment, *outcome).agg(F.count(F.lit(1)).alias("_n"))
+    return per_outcome.groupBy(by).pivot(segment, [*segments, "unknown"]).agg(F.avg("_n"))
 
 
 def first_lags(matches: DataFrame, by: Sequence[str | Column], lag: str, outcome: Sequence[str] = OUTCOME) -> DataFrame:
@@ -153,12 +154,16 @@ def cumulative_outcomes(
 
 
 def fill_lags(counts: DataFrame, by: Sequence[str], value: str, last: int | None = None) -> DataFrame:
-    """Give every group a row for every lag from 0 to ``last`` (or the table's last), 0 where it had none."""
+    """Give every group a row for every lag from 0 to ``last`` (or the table's last), 0 where it had none.
+
+    Lags above ``last`` stay as they are.
+    """
     end = counts.agg(F.max("day_diff")).scalar() if last is None else F.lit(last)
     groups = counts.select(*by).distinct() if by else counts.agg(F.count(F.lit(1)).alias("_all")).where("_all > 0")
     grid = groups.select(*by, F.explode(F.sequence(F.lit(0), end.cast("int"))).alias("day_diff"))
-    typed = counts.withColumn("day_diff", F.col("day_diff").cast("int"))
-    return grid.join(typed, [*by, "day_diff"], "left").na.fill(0, [value])
+    columns = [*by, "day_diff", value]
+    rows = grid.withColumn(value, F.lit(0)).select(*columns).union(counts.withColumn("day_diff", F.col("day_diff").cast("int")).select(*columns))
+    return rows.groupBy(*by, "day_diff").agg(F.sum(value).alias(value))
 
 
 def pct_of_all(by_group: DataFrame, overall: DataFrame) -> DataFrame:
@@ -256,9 +261,11 @@ def dense_grid(
 
 
 def pivot_wide(df: DataFrame, rows: Sequence[str], column: str, values: Sequence, value: str) -> DataFrame:
-    """Long to wide, 0 where a cell is empty."""
-    wide = df.groupBy(*rows).pivot(column, list(values)).agg(F.sum(value))
-    return wide.na.fill(0, [str(c) for c in values])
+    """Long to wide, 0 where a cell is empty; what is not among ``values`` is summed in ``other``."""
+    named = df.withColumn(column, F.when(F.col(column).isin(*values), F.col(column)).otherwise("other"))
+    columns = [*values, "other"]
+    wide = named.groupBy(*rows).pivot(column, columns).agg(F.sum(value))
+    return wide.na.fill(0, [str(c) for c in columns])
 
 
 def unpivot_long(df: DataFrame, rows: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:

@@ -104,9 +104,12 @@ def lookback_curve_rounded(spark, sf):
 
 
 
-@query("excluded_channels", merged_sql("SELECT channel_name FROM cnts GROUP BY channel_name HAVING sum(CASE WHEN day_diff <= 61 THEN cnt END) < 2020 OR channel_name IN ('epn', 'Others')", extra=_LAGS))
+_EXCLUDED = ", ".join(f"'{c}'" for c in v.DASHBOARD_EXCLUDED)
+
+
+@query("excluded_channels", merged_sql(f"SELECT channel_name FROM cnts GROUP BY channel_name HAVING sum(CASE WHEN day_diff <= 61 THEN cnt END) < 2020 OR channel_name IN ({_EXCLUDED})", extra=_LAGS))
 def excluded_channels(spark, sf):
-    return curves.low_volume(_lag_counts(spark, sf), 2020, fixed=["epn", "Others"])
+    return curves.low_volume(_lag_counts(spark, sf), 2020, fixed=v.DASHBOARD_EXCLUDED)
 
 
 @query(
@@ -163,6 +166,9 @@ def avg_clicks_all_channels(spark, sf):
     return table.withColumns({c: F.round(c, 6) for c in _WINDOWS})
 
 
+_NO_SEGMENT = "coalesce(fm_buyer_type_desc, '') NOT IN (" + ", ".join(f"'{s}'" for s in v.SEGMENTS) + ")"
+
+
 @query(
     "avg_clicks_by_segment",
     merged_sql(
@@ -171,12 +177,13 @@ def avg_clicks_all_channels(spark, sf):
             f"""round(count(*) FILTER (fm_buyer_type_desc = '{s}') / nullif(count(DISTINCT transaction_id) FILTER (fm_buyer_type_desc = '{s}'), 0)::DOUBLE, 6) AS "{s}" """
             for s in v.SEGMENTS
         )
+        + f""", round(count(*) FILTER ({_NO_SEGMENT}) / nullif(count(DISTINCT transaction_id) FILTER ({_NO_SEGMENT}), 0)::DOUBLE, 6) AS unknown"""
         + f" FROM {_CLICKED} GROUP BY chan"
     ),
 )
 def avg_clicks_by_segment(spark, sf):
     table = curves.average_clicks_by(_clicked(spark, sf), "fm_buyer_type_desc", v.SEGMENTS)
-    return table.withColumns({s: F.round(F.col(f"`{s}`"), 6) for s in v.SEGMENTS})
+    return table.withColumns({s: F.round(F.col(f"`{s}`"), 6) for s in (*v.SEGMENTS, "unknown")})
 
 
 def _cumulated(by: str) -> dict[str, str]:
@@ -364,12 +371,14 @@ def dense_grid(spark, sf):
 
 
 _PIVOT = (*v.BASELINE_CHANNELS, "Paid Search - Brand", "Unassigned")
+_OTHER = "channel_name NOT IN (" + ", ".join(f"'{c}'" for c in _PIVOT) + ")"
 
 
 @query(
     "pivot_daily",
     with_views(
-        "SELECT event_dt, " + ", ".join(f"""CAST(coalesce(sum(no_events) FILTER (channel_name = '{c}'), 0) AS BIGINT) AS "{c}" """ for c in _PIVOT) + " FROM daily GROUP BY event_dt",
+        "SELECT event_dt, " + ", ".join(f"""CAST(coalesce(sum(no_events) FILTER (channel_name = '{c}'), 0) AS BIGINT) AS "{c}" """ for c in _PIVOT)
+        + f", CAST(coalesce(sum(no_events) FILTER ({_OTHER}), 0) AS BIGINT) AS other FROM daily GROUP BY event_dt",
         "touch", extra={"daily": _DAILY_CLICKS},
     ),
 )
@@ -383,9 +392,10 @@ def pivot_daily(spark, sf):
         """SELECT d.event_dt, c.channel_name, coalesce(no_events, 0) AS no_events FROM (SELECT DISTINCT event_dt FROM daily) d
            CROSS JOIN (SELECT unnest(["""
         + ", ".join(f"'{c}'" for c in _PIVOT)
-        + "]) AS channel_name) c LEFT JOIN daily USING (event_dt, channel_name)",
-        "touch", extra={"daily": _DAILY_CLICKS},
+        + ", 'other']) AS channel_name) c LEFT JOIN named USING (event_dt, channel_name)",
+        "touch",
+        extra={"daily": _DAILY_CLICKS, "named": f"SELECT event_dt, CASE WHEN {_OTHER} THEN 'other' ELSE channel_name END AS channel_name, CAST(sum(no_events) AS BIGINT) AS no_events FROM daily GROUP BY ALL"},
     ),
 )
 def unpivot_curve(spark, sf):
-    return curves.unpivot_long(pivot_daily(spark, sf), ["event_dt"], _PIVOT, "channel_name", "no_events")
+    return curves.unpivot_long(pivot_daily(spark, sf), ["event_dt"], [*_PIVOT, "other"], "channel_name", "no_events")

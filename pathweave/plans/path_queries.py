@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..functions import values as v
 from ..operators import encode, paths, sequence
 from . import bindings as b
 from .jobs import CURRENT, TRANSACTION, by_intent, path_steps
@@ -174,7 +175,8 @@ def channel_mask(spark, sf):
     "mask_matrix",
     merged_sql(
         """SELECT channel_mask, n_paths, channel_name, CAST((channel_mask >> n) & 1 AS INT) AS present
-           FROM (SELECT channel_mask, count(*) AS n_paths FROM masks GROUP BY channel_mask) CROSS JOIN enc WHERE channel_name <> 'Display'""",
+           FROM (SELECT channel_mask, count(*) AS n_paths FROM masks GROUP BY channel_mask) CROSS JOIN enc
+           WHERE channel_name NOT IN (""" + ", ".join(f"'{c}'" for c in v.MATRIX_EXCLUDED) + ")",
         extra=_MASK_VIEWS,
     ),
 )
@@ -182,7 +184,7 @@ def mask_matrix(spark, sf):
     rows = _channels(spark, sf)
     encoder = encode.mask_encoder(rows, "channel_name")
     masks = encode.channel_masks(rows, encoder, "channel_name")
-    return encode.mask_matrix(masks, encoder, "channel_name", excluded=["Display"]).drop("mask_words")
+    return encode.mask_matrix(masks, encoder, "channel_name", excluded=v.MATRIX_EXCLUDED).drop("mask_words")
 
 
 _PRESENCE = """SELECT o.transaction_id, o.item_id, string_agg(CASE WHEN t.token IS NULL THEN '0' ELSE '1' END, '' ORDER BY e.n) AS presence

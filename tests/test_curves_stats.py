@@ -68,12 +68,16 @@ def test_average_clicks(spark):
     assert got == {"a": (1.0, 1.5), "b": (None, None)}
     by = {r.channel_name: (r.New, r.Old) for r in curves.average_clicks_by(rows, "seg", ["New", "Old"]).collect()}
     assert by == {"a": (2.0, 1.0), "b": (None, 1.0)}
+    by = {r.channel_name: (r.New, r.unknown) for r in curves.average_clicks_by(rows, "seg", ["New"]).collect()}
+    assert by == {"a": (2.0, 1.0), "b": (None, 1.0)}
 
 
 def test_grid_and_reshaping(spark):
     counts = spark.createDataFrame([("d1", "a", 1), ("d2", "b", 2)], "event_dt string, channel_name string, no_events bigint")
     grid = {(r.event_dt, r.channel_name): r.no_events for r in curves.dense_grid(counts).collect()}
     assert grid == {("d1", "a"): 1, ("d1", "b"): 0, ("d2", "a"): 0, ("d2", "b"): 2}
+    some = {r.event_dt: (r.a, r.other) for r in curves.pivot_wide(counts, ["event_dt"], "channel_name", ["a"], "no_events").collect()}
+    assert some == {"d1": (1, 0), "d2": (0, 2)}
     wide = curves.pivot_wide(counts, ["event_dt"], "channel_name", ["a", "b"], "no_events")
     long = curves.unpivot_long(wide, ["event_dt"], ["a", "b"], "channel_name", "no_events")
     assert {(r.event_dt, r.channel_name): r.no_events for r in long.collect()} == grid
