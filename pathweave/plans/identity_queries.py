@@ -81,6 +81,26 @@ def dedup_items(spark, sf):
     return keep_first(rows, ["guid", "session_skey", "item_id"], [*order_of(rows, DEVICE_ORDER), "seqnum"])
 
 
+@query(
+    "dedup_sessions_two_keys",
+    with_views(_first("item", "guid, session_skey", _nulls_first(*DEVICE_ORDER) + ", seqnum", ", ".join(_SESSION_ROW)), "item"),
+)
+def dedup_sessions_two_keys(spark, sf):
+    rows = b.item_views(spark, sf).select(*_SESSION_ROW)
+    return keep_first(rows, ["guid", "session_skey"], [*order_of(rows, DEVICE_ORDER), "seqnum"])
+
+
+@query(
+    "dedup_items_seqnum",
+    with_views(
+        _first("item", "guid, session_skey, item_id, seqnum", _nulls_first(*DEVICE_ORDER), ", ".join((*_SESSION_ROW, "item_id"))), "item"
+    ),
+)
+def dedup_items_seqnum(spark, sf):
+    rows = b.item_views(spark, sf).select(*_SESSION_ROW, "item_id")
+    return keep_first(rows, ["guid", "session_skey", "item_id", "seqnum"], order_of(rows, DEVICE_ORDER))
+
+
 @query(
     "dedup_nulls_last",
     with_views(
