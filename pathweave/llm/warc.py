@@ -16,11 +16,12 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm.shared import attach
+from pathweave.llm.shared import IdFilter, attach, cut
 
 CHUNK = 1 << 15  # payload bytes in a chunk
 ROWS = 128  # chunk rows in an output batch
@@ -100,10 +101,25 @@ def write_archives(pages: DataFrame, to: str, id_col: str = "page_id", url_col:
     """
     attach(pages)
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.col(payload_col).cast("string"), "utf-8").alias("payload"))
-    known = roles(pages.where(F.col(id_col).isNotNull()), id_col, payload_col, least).groupBy("id", "digest").agg(F.min("refers_to").alias("refers_to"))
-    own = own.withColumn("digest", F.sha2(F.coalesce("payload", F.lit(b"")), 256))
-    records = own.join(known, ["id", "digest"], "left").select(F.monotonically_increasing_id().alias("record"), "id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"), "digest", "refers_to")
-    records.mapInArrow(_writer(archives), _SCHEMA).write.mode("errorifexists").parquet(to)
+    known = roles(pages.where(F.col(id_col).isNotNull()), id_col, payload_col, least).where("refers_to is not null").groupBy("id", "digest").agg(F.min("refers_to").alias("refers_to"))
+    known = cut(known)
+    revisits = IdFilter(known, "id")
+    payload = F.coalesce("payload", F.lit(b""))
+    own = own.select((F.monotonically_increasing_id() * 2).alias("record"), "id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+
+    def some(may_revisit: bool):
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(1)
+                may = revisits(np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
+                yield b.filter(pa.array(may == may_revisit))
+
+        return own.mapInArrow(choose, own.schema)
+
+    # only rows that may be revisits are shuffled, to learn what they refer to
+    plain = some(False).withColumn("refers_to", F.lit(None).cast("long"))
+    looked_up = some(True).join(known, ["id", "digest"], "left").select((F.col("record") + 1).alias("record"), "id", "url", "payload", "digest", "refers_to")
+    plain.union(looked_up).mapInArrow(_writer(archives), _SCHEMA).write.mode("errorifexists").parquet(to)
 
 
 class Reader:
