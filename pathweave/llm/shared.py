@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -49,6 +50,27 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return os.path.join(folder(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
+def release() -> None:
+    """Give memory that is not used any more back to the system: workers wait for the next task with little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function for mapInArrow that ends with ``release``."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run ``df`` and go on from its copy in the shared folder, which outlives the executors."""
     folder(df.sparkSession)
