@@ -21,6 +21,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -30,16 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.shared import attach
+from pathweave.llm.shared import attach, tidy
 
 # Fixed value: how the public byte-level vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRETOKEN = regex.compile(PATTERN)
 _KINDS = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+"))
-_DIRTY = regex.compile(r"[\s\x1c-\x1f]{2}")
+_DIRTY = re.compile(r"\s\s")
 _CLEAN = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 CHUNK = 1 << 16
-CACHE = 1 << 18  # units that a worker keeps
+CACHE = 1 << 17  # units that a task keeps
 
 
 def byte_characters() -> dict[str, int]:
@@ -224,6 +225,10 @@ class UnitEncoder:
         new = list(units.difference(known))
         known.update(zip(new, self.encode_all([lead + x for x in new] if lead else new), strict=True))
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.rest.clear()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") if not _DIRTY.search(x) else _CLEAN.split(x) for x in texts]
         self._learn(self.first, "", {parts[0] for parts in split})
@@ -421,9 +426,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = machine.encode_all([x or "" for x in part.column(1).to_pylist()])
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+        machine.units.forget()
+        machine.pieces.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -440,7 +447,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], decoded], names=[*others, "decoded"])
 
     schema = encoded.select(*others).schema.add("decoded", "string")
-    return encoded.select(*others, ids_col).mapInArrow(run, schema)
+    return encoded.select(*others, ids_col).mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.shared import IdFilter, attach, components, cut
+from pathweave.llm.shared import IdFilter, attach, components, cut, tidy
 from pathweave.llm.words import mix, shingle_sets, texts
 
 FREQUENT = 16  # sets in which a shingle must be found to be put last in the order
@@ -156,7 +156,7 @@ def frequent(docs: DataFrame, wanted: IdFilter, total: int, n_words: int) -> tup
         code = (np.int64(table.column("bucket")[0].as_py()) << 32) | keys[many].astype(np.int64)
         return pa.table({"code": pa.array(code, pa.int64()), "sets": pa.array(times[many], pa.int64())})
 
-    counted = docs.mapInArrow(count, "bucket int, keys binary, again binary, times binary").groupBy("bucket").applyInArrow(add, "code long, sets long")
+    counted = docs.mapInArrow(tidy(count), "bucket int, keys binary, again binary, times binary").groupBy("bucket").applyInArrow(add, "code long, sets long")
     top = counted.orderBy(F.desc("sets"), "code").limit(MAX_FREQUENT).toArrow()
     codes, sets = (top.column(c).to_numpy() for c in ("code", "sets"))
     order = np.argsort(codes)
@@ -331,10 +331,10 @@ def verified(pairs: DataFrame, docs: DataFrame, n_words: int, num: int, den: int
                     good.append(len(x) > 0 and den * shared >= num * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    chosen = docs.mapInArrow(keep, "id long, text string")
+    chosen = docs.mapInArrow(tidy(keep), "id long, text string")
     with_a = pairs.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(check), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -349,7 +349,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     num, den = threshold
     spark = attach(docs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = cut(source.mapInArrow(_profiles(n_words, "id n sig_a sig_b"), "id long, n long, sig_a long, sig_b long"))
+    profiles = cut(source.mapInArrow(tidy(_profiles(n_words, "id n sig_a sig_b")), "id long, n long, sig_a long, sig_b long"))
     known = profiles.where("id is not null and n > 0")
     source = source.where("id is not null")
     sets = known.groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -364,7 +364,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     codes, counts, buckets = frequent(source, wanted, total, n_words)
     shared = spark.sparkContext.broadcast((codes, counts))
     made = _entries(wanted, n_words, num, den, boundary, buckets, shared)
-    rows = cut(source.mapInArrow(made, _ENTRY).groupBy("bucket").applyInArrow(_pairs(num, den), _ROW))
+    rows = cut(source.mapInArrow(tidy(made), _ENTRY).groupBy("bucket").applyInArrow(_pairs(num, den), _ROW))
 
     def star(listed: DataFrame, by: str) -> DataFrame:
         return listed.join(listed.groupBy(by).agg(F.min_by(F.struct("a", "n", "b"), "a").alias("first")), by)

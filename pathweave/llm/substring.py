@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.shared import IdFilter, attach, cut
+from pathweave.llm.shared import IdFilter, attach, cut, tidy
 from pathweave.llm.words import Texts, runs, texts
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -221,11 +221,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     # the number of groups follows what they will hold: about one anchor per 64 bytes of text, 32 windows per shared anchor
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    anchors = source.mapInArrow(_sender(length, 1 + size // 64 // PER_BUCKET, None), _SENT).groupBy("bucket").applyInArrow(_shared_anchors, "anchor long, places long")
+    anchors = source.mapInArrow(tidy(_sender(length, 1 + size // 64 // PER_BUCKET, None)), _SENT).groupBy("bucket").applyInArrow(_shared_anchors, "anchor long, places long")
     anchors = cut(anchors)
     places = anchors.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
     wanted = IdFilter(anchors, "anchor")
-    found = source.mapInArrow(_sender(length, 1 + 32 * places // PER_BUCKET, wanted), _SENT).groupBy("bucket").applyInArrow(_references, "d long, o long")
+    found = source.mapInArrow(tidy(_sender(length, 1 + 32 * places // PER_BUCKET, wanted)), _SENT).groupBy("bucket").applyInArrow(_references, "d long, o long")
     pairs = cut(found.distinct())
     involved = IdFilter(pairs.select(F.explode(F.array("d", "o")).alias("id")).distinct(), "id")
 
@@ -235,10 +235,10 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
             if chosen.num_rows:
                 yield chosen
 
-    chosen = source.mapInArrow(keep, "id long, text string")
+    chosen = source.mapInArrow(tidy(keep), "id long, text string")
     documents = pairs.join(chosen.select(F.col("id").alias("d"), F.xxhash64("text").alias("text_hash"), "text"), "d")
     both = documents.join(chosen.select(F.col("id").alias("o"), F.col("text").alias("reference")), "o")
-    spans = both.select("d", "text_hash", "text", "reference").mapInArrow(_match(length), "d long, text_hash long, starts array<int>, ends array<int>")
+    spans = both.select("d", "text_hash", "text", "reference").mapInArrow(tidy(_match(length)), "d long, text_hash long, starts array<int>, ends array<int>")
     return spans.groupBy("d", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
@@ -280,4 +280,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = own.schema
     for name, kind in zip(made, ("long", "long", "string"), strict=True):
         schema = schema.add(name, kind)
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(tidy(apply), schema)

@@ -1,7 +1,7 @@
 """Words and shingles of whole texts as numpy arrays of 64-bit hashes.
 
-Texts stay in the Arrow buffer they arrive in.  They are hashed in pieces of about a
-megabyte, so memory depends neither on the batch nor on the length of a text.  A word
+Texts stay in the Arrow buffer they arrive in.  They are hashed in pieces of about half
+a megabyte, so memory depends neither on the batch nor on the length of a text.  A word
 is a run of bytes other than space and ``\\x09-\\x0D``; UTF-8 has these bytes in no
 other character.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,7 +102,7 @@ class Texts:
 
 
 def texts(column: pa.Array, lower: bool) -> Iterator[Texts]:
-    """The words of a batch's texts, about a megabyte of text at a time; null is no text."""
+    """The words of a batch's texts, about half a megabyte of text at a time; null is no text."""
     n = len(column)
     if not n:
         return
