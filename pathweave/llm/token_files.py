@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from pathweave.llm.shared import attach
 
 BLOCK = 1 << 18  # ids after which a block ends
 SAMPLE = 64
+MARKS = ".,;:!?#*$%&|"  # marks that the splitting pattern keeps apart from letters before them
+JOINED = 256  # new units that the library reads as one text
 MAGIC = b"EFTOK001"
 _SCHEMA = "shard int, block int, first_id long, n_docs long, n_tokens long, payload binary"
 
@@ -149,18 +152,67 @@ def _encoder(path: str, text: str):
         tokenizer = Tokenizer.from_str(text)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        if hasattr(tokenizer.model, "_resize_cache"):  # units come once each: the model's own cache would only cost
+            tokenizer.model._resize_cache(0)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-        def library(units: list[str]) -> list[bytes]:
+        vocabulary = tokenizer.get_vocab()
+        begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how the vocabulary writes a space
+
+        def each(units: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+        def running_text(units: list[str]) -> list[bytes]:
+            """Units with one space, at the front, are encoded as running text: their first ids are those that begin with a space."""
+            groups = ["".join(units[k : k + JOINED]) for k in range(0, len(units), JOINED)]
+            found = [e.ids for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
+            at = np.flatnonzero(begins[ids])
+            if len(at) != len(units):  # a vocabulary that does not split before every space
+                return each(units)
+            data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            return [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        marks: dict[str, bytes] = {}
+
+        def library(new: list[str]) -> list[bytes]:
+            """Ids of new units; a word's closing marks are split from it, as the pattern does, so the word is read once."""
+            parts, words, rest = [], {}, []
+            for x in new:
+                word = x.rstrip(MARKS)
+                if x[0] != " " or not word[1:].isalpha() or max(word) > "\u024f":
+                    word = None
+                    if x[0] == " " and len(x) > 1 and not x[-1].isspace() and x.find(" ", 1) < 0:
+                        words[x] = b""
+                    else:
+                        rest.append(x)
+                else:
+                    if word[1:] not in units.rest:
+                        words[word] = b""
+                    if len(word) < len(x) and x[len(word) :] not in marks:
+                        marks[x[len(word) :]] = each([x[len(word) :]])[0]
+                parts.append(word)
+            words.update(zip(words, running_text(list(words)), strict=True))
+            others = dict(zip(rest, each(rest), strict=True))
+            out = []
+            for x, word in zip(new, parts, strict=True):
+                if word is None:
+                    out.append(words[x] if x in words else others[x])
+                else:
+                    ids = words[word] if word in words else units.rest[word[1:]]
+                    out.append(ids if len(word) == len(x) else ids + marks[x[len(word) :]])
+            if len(marks) > 10_000:
+                marks.clear()
+            return out
+
         units = UnitEncoder(library)
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             plain = [i for i, x in enumerate(texts) if x and not any(s in x for s in special)]
             done = dict(zip(plain, units([texts[i] for i in plain]), strict=True))
             rest = [i for i, x in enumerate(texts) if x and i not in done]
-            done |= dict(zip(rest, library([texts[i] for i in rest]), strict=True))
+            done |= dict(zip(rest, each([texts[i] for i in rest]), strict=True))
             return [np.frombuffer(done.get(i, b""), "<u4") for i in range(len(texts))]
 
         _encoders[path] = encode
