@@ -42,9 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of the ids and of what they decode to."""
-    encoded = bpe.encode(docs, BYTE_BPE).withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("encoded", F.col("ids"))
-    decoded = bpe.decode(encoded, BYTE_BPE, "encoded")
-    return decoded.select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs, BYTE_BPE, decoded=True)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

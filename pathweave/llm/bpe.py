@@ -40,7 +40,7 @@ _KINDS = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}
 _DIRTY = re.compile(r"\s\s")
 _CLEAN = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 CHUNK = 1 << 16
-CACHE = 1 << 17  # units that a task keeps
+CACHE = 1 << 16  # units that a task keeps
 
 
 def byte_characters() -> dict[str, int]:
@@ -214,13 +214,13 @@ class Vocabulary:
 class UnitEncoder:
     """Encode texts unit by unit; ``encode_all`` turns a list of units into the bytes of their ids."""
 
-    def __init__(self, encode_all):
-        self.encode_all = encode_all
+    def __init__(self, encode_all, size: int | None = None):
+        self.encode_all, self.size = encode_all, size or CACHE
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}  # of units after a space, which the key leaves out
 
     def _learn(self, known: dict[str, bytes], lead: str, units: set[str]) -> None:
-        if len(known) > CACHE:
+        if len(known) > self.size:
             known.clear()
         new = list(units.difference(known))
         known.update(zip(new, self.encode_all([lead + x for x in new] if lead else new), strict=True))
@@ -409,28 +409,33 @@ class _Shared:
 ROWS = 256  # rows in an output batch
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens and ids (little-endian unsigned 32-bit integers) of each whole text.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id, n_tokens and ids (little-endian unsigned 32-bit integers) of each whole text; with ``decoded`` also the text
+    that the ids decode to, worked out by the same worker.
 
     ``path`` is a byte-level BPE file of the tokenizers library.  A null text is empty: no ids.  The strings
     of special tokens become their ids.  Null and repeated document ids are kept as they are;
     other columns are ignored.
     """
     shared = _Shared(docs, path)
+    names = [id_col, "n_tokens", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, _ = _machines(shared)
+        machine, decoder = _machines(shared)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
                 ids = machine.encode_all([x or "" for x in part.column(1).to_pylist()])
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+                columns = [part.column(0), counts, pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([decoder.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         machine.units.forget()
         machine.pieces.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids binary")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -452,5 +457,5 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens and SHA-256 of the ids and of what they decode to."""
-    encoded = encode(docs, path, id_col, text_col).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(encoded, path).select(id_col, "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+    coded = encode(docs, path, id_col, text_col, decoded=True)
+    return coded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))

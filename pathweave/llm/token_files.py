@@ -206,7 +206,7 @@ def _encoder(path: str, text: str):
                 marks.clear()
             return out
 
-        units = UnitEncoder(library)
+        units = UnitEncoder(library, 1 << 18)
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             plain = [i for i, x in enumerate(texts) if x and not any(s in x for s in special)]
