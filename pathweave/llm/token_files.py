@@ -181,9 +181,9 @@ def _encoder(path: str, text: str):
             parts, words, rest = [], {}, []
             for x in new:
                 word = x.rstrip(MARKS)
-                if x[0] != " " or not word[1:].isalpha() or max(word) > "\u024f":
+                if x[:1] != " " or not word[1:].isalpha() or max(word) > "\u024f":
                     word = None
-                    if x[0] == " " and len(x) > 1 and not x[-1].isspace() and x.find(" ", 1) < 0:
+                    if x[:1] == " " and len(x) > 1 and not x[-1].isspace() and x.find(" ", 1) < 0:
                         words[x] = b""
                     else:
                         rest.append(x)

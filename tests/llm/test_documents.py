@@ -123,6 +123,19 @@ def test_bpe_awkward(spark, library):
     assert token_files.read_tokens(spark, empty).count() == 0 == bpe.round_trip(brute.none(spark), queries.BYTE_BPE).count()
 
 
+def test_bpe_leading_space(spark, library):
+    """Texts that begin with one space: their first unit is empty."""
+    texts = [" hello", " ", " hello world", " a ", " .", " 1 b.", " é x", "b ", "", " hello"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = sorted(bpe.encode(df, queries.BYTE_BPE).collect(), key=lambda r: r.doc_id)
+    assert [np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got] == want
+    to = new_path(spark, "tokens")
+    token_files.write_tokens(df, to, queries.BYTE_BPE)
+    got = sorted(token_files.read_tokens(spark, to).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, np.frombuffer(bytes(r.ids), "<u2").tolist()) for r in got] == [(i, [*ids, 0]) for i, ids in enumerate(want)]
+
+
 def test_transducer_is_stable(library):
     """Chunks of any size give the library's ids, also within one very long pretoken."""
     with open(queries.BYTE_BPE, encoding="utf-8") as f:
