@@ -43,7 +43,7 @@ class Words:
 
     offsets: np.ndarray
     grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    fresh: np.ndarray  # not a repetition of one of the WINDOW - 1 words before it: a repeated word counts once
+    fresh: np.ndarray  # not a repetition of one of its text's WINDOW - 1 words before it: a repeated word counts once
 
     @property
     def n_grams(self) -> np.ndarray:
@@ -79,7 +79,8 @@ def words_of(texts: list[str]) -> Words:
     np.cumsum(_NAMES[h], out=sums[1:])
     name = sums[hi] - sums[lo]
     order = np.argsort(name, kind="stable")
-    near = (name[order][1:] == name[order][:-1]) & (np.diff(order) < WINDOW)
+    text = np.searchsorted(text_start, starts, "right")[order]
+    near = (name[order][1:] == name[order][:-1]) & (np.diff(order) < WINDOW) & (text[1:] == text[:-1])
     fresh = np.ones(len(name), bool)
     fresh[order[1:][near]] = False
     return Words(np.searchsorted(starts, text_start), grams, fresh)

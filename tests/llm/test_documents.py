@@ -209,6 +209,17 @@ def test_toxicity_awkward(spark):
     assert 0 <= model.scores(["x"])[0] < 0.7
 
 
+def test_toxicity_texts_do_not_touch():
+    """A text's score does not depend on the texts read with it; nor do the words that training reads."""
+    model = toxicity.train(["you idiot person here", "what an idiot that is", "a fine day out", "the nice long road"] * 5, np.array([1, 1, 0, 0] * 5))
+    x, y = "some idiot said idiot", "a fine idiot"
+    alone = {t: model.scores([t])[0] for t in (x, y, "")}
+    for texts in ([x, x], [y, x], [x, "", x], ["", y, y, x], [x, x, x, y]):
+        assert np.allclose(model.scores(texts), [alone[t] for t in texts], rtol=1e-9, atol=0)
+    assert toxicity.words_of([x, y, x]).fresh.tolist() == [True, True, True, False, True, True, True, True, True, True, False]
+    assert toxicity.joined_words([x, x]).fresh.tolist() == [True, True, True, False] * 2
+
+
 def test_licenses_match_the_plain_model(spark, docs):
     model = licenses.train(["the road to the town", "rights and wrongs of it", "he was reading"] * 20)
     df = spark.createDataFrame([*docs[:40], (900, None), (901, ""), (902, "x\nReleased under the MIT License.\nAll rights reserved."), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
