@@ -68,6 +68,27 @@ def test_top_k_awkward(spark):
     assert topk.top_k(df.limit(0), df).count() == 0 == topk.top_k(df, df.limit(0)).count()
 
 
+def test_top_k_minus_one_and_large(spark):
+    """An id of -1 is an id like any other; large components are scored exactly and spoil no other row."""
+    rows = [(i, [math.sin(i * k) for k in range(1, 5)]) for i in range(-3, 200)]
+    rows += [(500, [-3.0e9, 3.0e9, 1.0, 0.0]), (501, [-3.0e9, 3.0e9, 1.0 + 1 / 256, 0.0]), (502, [1e300, 0.0, 0.0, 0.0]), (503, [-1.7e308] * 4), (504, [0.0, 0.0, 0.0, 2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = lambda v: [math.floor(256 * x) if abs(x) < 2**53 else 256 * int(x) for x in v]
+    asked = [(-1, rows[2][1]), (0, [0.0, 0.0, 1.0, 0.0]), (7, [-1.0, 1.0, -0.5, 0.25]), (504, rows[-1][1])]
+    want = []
+    for q, v in asked:
+        best = sorted((-sum(a * b for a, b in zip(ints(v), ints(w), strict=True)), i) for i, w in rows if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    fine = {q for q, _ in asked} - {q for q, _, _, s in want if abs(s) >= 2**63}
+    assert len(fine) >= 2
+    got = topk.top_k(df, spark.createDataFrame([x for x in asked if x[0] in fine], df.schema))
+    assert sorted(map(tuple, got.collect())) == sorted(x for x in want if x[0] in fine)
+    with pytest.raises(Exception, match="exceeds BIGINT"):
+        topk.top_k(df, spark.createDataFrame([(7, [1.0, 0.0, 0.0, 0.0])], df.schema)).collect()
+    alone = spark.createDataFrame([(-1, [1.0]), (2, [2.0])], df.schema)
+    assert sorted(map(tuple, topk.top_k(alone, alone).collect())) == [(-1, 1, 2, 131072), (2, 1, -1, 131072)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
     got = dict(map(tuple, shared.components(spark.createDataFrame(edges, "a long, b long")).collect()))
