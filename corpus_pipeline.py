@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathweave.llm import bpe, mixing, ngram_join, substring, toxicity
 from pathweave.llm.queries import BYTE_BPE, held_out
-from pathweave.llm.shared import new_path
+from pathweave.llm.shared import cut, new_path
 
 #: A source is passed over at most twice.
 REPEATS = 2.0
@@ -22,10 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows without an id stay."""
+    """Of each group of near copies the document with the smallest id; rows without an id stay.
+
+    Of rows that repeat both id and text one stays, the least by its other columns; rows of one id with different texts
+    are told apart by nothing else and stay or go together.
+    """
     groups = ngram_join.similar_groups(docs)
     others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("least"))
+    once = once.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"least.{c}").alias(c) for c in docs.columns])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

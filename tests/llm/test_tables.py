@@ -123,6 +123,17 @@ def test_pipeline(spark):
     assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()) == Counter((r.doc_id, r.ids_sha256) for r in last)
 
 
+def test_pipeline_repeated_ids(spark):
+    """Of rows that repeat an id and a text one stays; rows without an id and other texts of an id stay."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base, "b"), (1, base, "a"), (1, base, None), (2, base, "a"), (3, "one", "a"), (3, "two", "a"), (4, None, "a"), (4, None, "a"), (5, "five", "a"), (None, base, "a"), (None, base, "a"), (6, "", None)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+    got = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    assert got == Counter([(1, base, None), (3, "one", "a"), (3, "two", "a"), (4, None, "a"), (5, "five", "a"), (None, base, "a"), (None, base, "a"), (6, "", None)])
+
+
 def test_registry():
     import __spark_entry__ as e
 
