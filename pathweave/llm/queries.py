@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe, licenses, mixing, ngram_join, quality, substring, token_files, topk, toxicity, warc
-from pathweave.llm.shared import new_path
+from pathweave.llm import bpe, cover_tree, exact_dedup, licenses, mixing, ngram_join, quality, substring, token_files, topk, toxicity, warc
+from pathweave.llm.shared import cut, new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -93,6 +93,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, to).drop("ids")
 
 
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return found.withColumn("digest", F.lower(F.hex("digest"))).withColumnRenamed("digest", "text_sha256")
+
+
+@query
+def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = cover_tree.Codes(table(spark, sf_dir, "embeddings"), columns=("label",))
+    codes = cut(fitted.codes())
+    by_label = codes.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "_label")
+    return codes.join(by_label, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(fitted.books_sha256()).alias("codebooks_sha256")
+    )
+
+
 ORACLES["op9_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -116,3 +132,47 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f
 """
+
+ORACLES["op11_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _codes_sql(parts: int = cover_tree.PARTS, entries: int = cover_tree.ENTRIES, rounds: int = cover_tree.ROUNDS) -> str:
+    views = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label,
+          list_transform(embedding, lambda x: floor({cover_tree.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""p AS MATERIALIZED (SELECT k, part, c, list_inner_product(c, c) AS cc FROM (SELECT k, part,
+          v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS c FROM v, (SELECT unnest(range({parts})) AS part)))""",
+        f"b0 AS MATERIALIZED (SELECT part, k - 1 AS e, c, cc FROM p WHERE k <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        views.append(
+            f"""a{r} AS MATERIALIZED (SELECT p.k, p.part, min({{'d': p.cc + b.cc - 2 * list_inner_product(p.c, b.c), 'e': b.e}}) AS m
+            FROM p JOIN b{r} b ON p.part = b.part GROUP BY p.k, p.part)"""
+        )
+        if r < rounds:
+            views.append(
+                f"""b{r + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c, list_inner_product(coalesce(n.c, b.c), coalesce(n.c, b.c)) AS cc
+                FROM b{r} b LEFT JOIN (SELECT part, e, list(x ORDER BY i) AS c FROM (
+                  SELECT part, e, i, floor(sum(x) / count(*)) AS x FROM (
+                    SELECT p.part, a.m.e AS e, unnest(p.c) AS x, generate_subscripts(p.c, 1) AS i FROM p JOIN a{r} a ON p.k = a.k AND p.part = a.part)
+                  GROUP BY part, e, i) GROUP BY part, e) n ON b.part = n.part AND b.e = n.e)"""
+            )
+    views.append(
+        f"""f AS MATERIALIZED (SELECT k, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY k)"""
+    )
+    views.append(
+        f"""h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256
+        FROM (SELECT part, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM b{rounds}))"""
+    )
+    return (
+        "WITH " + ",\n".join(views) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,"
+        " codebooks_sha256 FROM f JOIN v USING (k) CROSS JOIN h"
+    )
+
+
+ORACLES["op13_cover_tree_codes"] = _codes_sql()
