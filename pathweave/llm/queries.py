@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe, cover_tree, exact_dedup, licenses, mixing, ngram_join, quality, substring, token_files, topk, toxicity, warc
+from pathweave.llm import bpe, cover_tree, exact_dedup, licenses, mixing, ngram_join, prefix_trie, quality, substring, token_files, topk, toxicity, warc
 from pathweave.llm.shared import cut, new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +99,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("digest", F.lower(F.hex("digest"))).withColumnRenamed("digest", "text_sha256")
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
 @query
 def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = cover_tree.Codes(table(spark, sf_dir, "embeddings"), columns=("label",))
@@ -139,6 +145,30 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+# CRC-32 of the characters of x, which are ASCII, bit by bit
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(x) + 1),
+  lambda i: list_concat([1000 + ascii(x[i])::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b - 1000) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations WHERE conv_id IS NOT NULL),
+cv AS (SELECT c, c - c % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS x FROM t)),
+re AS (SELECT cv.c, 0 AS own, place, r, x FROM cv JOIN t ON t.c = cv.base AND place <= h
+  UNION ALL SELECT cv.c, 1, place, r, x FROM cv JOIN t ON t.c = cv.c AND place > h),
+m AS MATERIALIZED (SELECT c, row_number() OVER w AS d, list(sha256(concat(length(r), ':', r, x))) OVER w AS node, length(x) AS chars
+  FROM re WINDOW w AS (PARTITION BY c ORDER BY own, place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, []::VARCHAR[], 0 FROM cv),
+len AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+n AS MATERIALIZED (SELECT node, m.d, min(m.c) AS c, count(*) AS n, any_value(chars) AS chars, count(*) FILTER (WHERE len.d > m.d) = 0 AS leaf,
+  coalesce(string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) FILTER (WHERE len.d = m.d), '') AS ends FROM m JOIN len USING (c) GROUP BY node, m.d),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+sums AS (SELECT m.node, count(*) FILTER (WHERE n.leaf) AS leaves, sum((n.n - 1) * n.chars) AS saved FROM n JOIN m ON m.c = n.c AND m.d <= n.d GROUP BY m.node)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN sums ON sums.node = n.node LEFT JOIN kids ON kids.node = n.node LEFT JOIN n p ON n.d > 0 AND p.node = n.node[1:n.d - 1]
+"""
+
 
 def _codes_sql(parts: int = cover_tree.PARTS, entries: int = cover_tree.ENTRIES, rounds: int = cover_tree.ROUNDS) -> str:
     views = [
