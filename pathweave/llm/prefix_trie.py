@@ -78,7 +78,7 @@ def rebuilt(turns: DataFrame, every: int = 100, heads: int = 6) -> tuple[DataFra
     wanting = convs.withColumns({"base": F.col("conv_id") - F.col("conv_id") % every, "h": head("conv_id")}).where("h > 0")
     copied = wanting.join(bases, "base").where("place <= h").select("conv_id", F.col("place").alias("depth"), "k0", "k1", "chars")
     there = bases.groupBy("base").agg(F.count(F.lit(1)).alias("there"))
-    lacking = wanting.join(there, "base", "left").select("conv_id", (F.col("h") - F.coalesce(F.least("there", "h"), F.lit(0))).alias("lack")).where("lack > 0")
+    lacking = wanting.join(there, "base", "left").select("conv_id", (F.col("h") - F.least(F.coalesce("there", F.lit(0)), F.col("h"))).alias("lack")).where("lack > 0")
     own = turns.where(F.col("place") > head("conv_id")).join(lacking, "conv_id", "left")
     own = own.select("conv_id", (F.col("place") - F.coalesce("lack", F.lit(0))).alias("depth"), "k0", "k1", "chars")
     return copied.unionByName(own), convs
@@ -132,7 +132,7 @@ def _shard(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     length = np.diff(np.asarray(column["chars"].offsets, np.int64))
     n, m = len(conv), int(length.max())
     first, second, chars = _matrix(column["path"], m, 2, 0), _matrix(column["path"], m, 2, 1), _matrix(column["chars"], m)
-    keys = [conv, *[x[:, j] for j in range(m - 1, -1, -1) for x in (second, first)], h1, h0, segment]
+    keys = [conv, ~last, *[x[:, j] for j in range(m - 1, -1, -1) for x in (second, first)], h1, h0, segment]
     order = np.lexsort(keys)
     conv, segment, h0, h1, last, length = (x[order] for x in (conv, segment, h0, h1, last, length))
     first, second, chars = first[order], second[order], chars[order]
@@ -238,7 +238,7 @@ def trie(turns: DataFrame, convs: DataFrame, width: int = WIDTH, shards: int | N
     """
     attach(turns)
     rows = _segments(turns, convs, width)
-    by = [F.col(c) for c in ("segment", "h0", "h1", "path", "conv_id")]
+    by = [*[F.col(c) for c in ("segment", "h0", "h1", "path")], ~F.col("last"), F.col("conv_id")]  # those that end at a node first
     ranged = (rows.repartitionByRange(*by) if shards is None else rows.repartitionByRange(shards, *by)).sortWithinPartitions(*by)
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
