@@ -38,6 +38,11 @@ def borders(sliced: DataFrame, group: Sequence[str], **columns) -> DataFrame:
     return counts.withColumn("_earlier", earlier).withColumn("_later", F.sum("_rows").over(whole) - F.col("_rows") - F.col("_earlier"))
 
 
+def long_groups(df: DataFrame, group: Sequence[str], more_than: int) -> DataFrame:
+    """``group`` and ``_rows`` of the groups with more than so many rows: at most one for every ``more_than`` rows."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > more_than)
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, number: int | None = None) -> DataFrame:
     """``df`` with ``name``: 1, 2, ... along ``order`` in each group, groups of any size."""
     sliced = slices(df, group, order, number)

@@ -5,12 +5,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.clock import seconds
-from .path_counts import chunk_counts, ordered_counts
+from ..sources.sinks import stage
+from . import ordered
+from .path_counts import pairs_of_paths, summaries_of_slices
 from .skew import skew_join
 
 OUTCOME = ("transaction_id", "item_id")
+# more touches than this are not gathered for one path
+LONG_PATH = 100_000
 
 
 def path_touches(
@@ -117,30 +122,57 @@ def unordered_pairs(
 
 
 def ordered_pairs(
-    touches: DataFrame, max_length: int | None = None, outcome: Sequence[str] = OUTCOME, chunk_seconds: int = 3600
+    touches: DataFrame,
+    max_length: int | None = None,
+    outcome: Sequence[str] = OUTCOME,
+    long_path: int = LONG_PATH,
+    number: int | None = None,
 ) -> DataFrame:
     """Pairs (earlier channel, later channel) over all pairs of touches, per path length.
 
-    Needs a running count per channel along each path, which array functions
-    can only do one pair of channels at a time; so each task counts its own
-    paths with numpy, and only sums per (path length, pair) are shuffled.  A
-    path may be arbitrarily long, so it is cut into chunks of time: pairs within a
-    chunk are counted on its touches, pairs across chunks on the chunks'
-    channel counts.  ``max_length`` leaves longer paths out.
+    Needs a running count per channel along each path, which array functions can only do one pair of channels at a time; so tasks
+    count with numpy, and only sums per (path length, pair) are shuffled.  Paths of up to ``long_path`` touches are
+    gathered.  Longer ones lie in ``number`` ordered slices (see ``ordered``) as long as their rows
+    ask for: a slice gives a summary of its part of a path, and summaries are merged along the slices.
+    ``max_length`` leaves longer paths out.
     """
-    rows = with_lengths(touches, max_length, outcome).withColumn("_chunk", F.floor(seconds("event_ts") / chunk_seconds))
-    step = F.struct("event_ts", "event_id", "channel_name")
-    chunk = [*outcome, "path_length", "_chunk"]
-    within = rows.groupBy(*chunk).agg(F.sort_array(F.collect_list(step)).alias("t"))
     schema = "path_length bigint, channel_1 string, channel_2 string, n bigint"
-    inside = within.select("path_length", F.col("t.channel_name").alias("path")).mapInPandas(ordered_counts, schema)
-    counts = rows.groupBy(*chunk, "channel_name").agg(F.count(F.lit(1)).alias("n"))
-    chunks = counts.groupBy(*outcome, "path_length").agg(F.sort_array(F.collect_list(F.struct("_chunk", "channel_name", "n"))).alias("h"))
-    several = chunks.where(F.col("h")[0]["_chunk"] < F.element_at("h", -1)["_chunk"])
-    across = several.select(
-        "path_length", F.col("h._chunk").alias("chunk"), F.col("h.channel_name").alias("path"), F.col("h.n").alias("times")
-    ).mapInPandas(chunk_counts, schema)
-    return _sum_pairs(inside.union(across))
+    step = F.struct("event_ts", "event_id", "channel_name")
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        paths = rows.groupBy(*outcome).agg(F.sort_array(F.collect_list(step)).alias("t"))
+        events = F.size(F.array_distinct("t.event_id")).cast("bigint")
+        return paths.select(events.alias("path_length"), F.col("t.channel_name").alias("path")).mapInArrow(pairs_of_paths, schema)
+
+    if max_length is not None:
+        return _sum_pairs(gathered(short_paths(touches, max_length, outcome)))
+    rows = stage(touches.select(*outcome, "event_ts", "event_id", "channel_name"))
+    long = ordered.long_groups(rows, outcome, long_path)
+    if long.isEmpty():
+        return _sum_pairs(gathered(rows))
+    inside, across = _long_pairs(rows.join(long, list(outcome), "left_semi"), outcome, number)
+    return _sum_pairs(gathered(rows.join(long, list(outcome), "left_anti")).unionByName(inside).unionByName(across))
+
+
+def _long_pairs(rows: DataFrame, outcome: Sequence[str], number: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs inside the slices of long paths, and across them."""
+    lengths = path_lengths(rows, outcome)
+    by = [F.col(c) for c in (*outcome, "event_ts", "event_id", "channel_name")]
+    rows = rows.join(lengths, list(outcome))
+    ranged = rows.repartitionByRange(*by) if number is None else rows.repartitionByRange(number, *by)
+    named = T.StructType([*rows.select(*outcome, "path_length").schema.fields]).add(ordered.SLICE, T.IntegerType()).add("channel_1", T.StringType()).add("channel_2", T.StringType()).add("n", T.LongType())
+    summarise = summaries_of_slices(len(outcome), to_arrow_schema(named))
+    found = stage(ranged.sortWithinPartitions(*by).select(*outcome, "path_length", "channel_name").mapInArrow(summarise, named))
+    counts = found.where("channel_2 is null").drop("channel_2")
+    # each channel of a path at each slice after its first, with how often it occurred before that slice
+    at = counts.groupBy(*outcome).agg(F.collect_set(ordered.SLICE).alias("_at")).where(F.size("_at") > 1)
+    each = counts.groupBy(*outcome, "channel_1").agg(F.min(ordered.SLICE).alias("_first")).join(at, list(outcome))
+    each = each.select(*outcome, "channel_1", F.explode(F.filter("_at", lambda s: s >= F.col("_first"))).alias(ordered.SLICE))
+    earlier = F.sum("n").over(W.partitionBy(*outcome, "channel_1").orderBy(ordered.SLICE).rowsBetween(W.unboundedPreceding, -1))
+    before = each.join(counts.drop("path_length"), [*outcome, ordered.SLICE, "channel_1"], "left").withColumn("_before", earlier).where("_before > 0").drop("n")
+    later = counts.withColumnRenamed("channel_1", "channel_2")
+    across = before.join(later, [*outcome, ordered.SLICE]).select("path_length", "channel_1", "channel_2", (F.col("_before") * F.col("n")).alias("n"))
+    return found.where("channel_2 is not null").select("path_length", "channel_1", "channel_2", "n"), across
 
 
 def _sum_pairs(pairs: DataFrame) -> DataFrame:

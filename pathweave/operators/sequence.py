@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.clock import seconds
-from .paths import OUTCOME, short_paths, with_lengths
+from ..sources.sinks import stage
+from . import ordered
+from .paths import LONG_PATH, OUTCOME, short_paths, with_lengths
 
 
 def _local(touches: DataFrame, within: Sequence[str], ts: str, tie_break: str) -> DataFrame:
@@ -17,7 +18,7 @@ def _local(touches: DataFrame, within: Sequence[str], ts: str, tie_break: str) -
     # one sort serves all: the order by time alone is a prefix, and the rank from the end follows from a running count
     return (
         touches.withColumns({"previous": F.lag("_row").over(by_time), "next": F.lead("_row").over(by_time)})
-        .withColumns({"forward_step": F.rank().over(group.orderBy(ts)), "_so_far": F.count(F.lit(1)).over(so_far)})
+        .withColumns({"forward_step": F.rank().over(group.orderBy(ts)).cast("bigint"), "_so_far": F.count(F.lit(1)).over(so_far)})
         .withColumn("backward_step", F.count(F.lit(1)).over(group) - F.col("_so_far") + 1)
         .drop("_so_far")
     )
@@ -29,46 +30,60 @@ def with_neighbours(
     outcome: Sequence[str] = OUTCOME,
     ts: str = "event_ts",
     tie_break: str = "event_id",
-    chunk_seconds: int | None = 3600,
+    long_path: int | None = LONG_PATH,
+    number: int | None = None,
 ) -> DataFrame:
     """Add ``previous``, ``next``, ``forward_step`` and ``backward_step`` to each touch.
 
     ``previous`` and ``next`` are structs of the ``current`` columns; steps are
     ranks by time from the start and from the end, equal times sharing a step.
 
-    A path may be arbitrarily long, so it is worked on in chunks of time: ranks
-    and neighbours inside a chunk, then the few rows describing whole chunks
-    supply what lies across a chunk's border.  ``touches`` is read twice for
-    that.  The busiest chunk of one path is one group.  For paths known to be short
-    ``chunk_seconds=None`` does without.
+    Touches are staged and counted by outcome.  Paths of up to ``long_path`` touches are windows over the outcome.  Longer ones, whatever
+    their shape in time, lie in ordered slices of like size (``number``, or as many as the session's shuffles have partitions), and one
+    row per outcome and slice carries what lies across the borders.  For paths known to be short ``long_path=None`` does without.
     """
-    rows = touches.withColumn("_row", F.struct(*current))
-    if chunk_seconds is None:
-        return _local(rows, outcome, ts, tie_break).drop("_row")
-    chunk = [*outcome, "_chunk"]
-    cut = rows.withColumn("_chunk", F.floor(seconds(ts) / chunk_seconds))
+    if long_path is None:
+        return _local(touches.withColumn("_row", F.struct(*current)), outcome, ts, tie_break).drop("_row")
+    rows = stage(touches)
+    long = ordered.long_groups(rows, outcome, long_path)
+    if long.isEmpty():
+        return with_neighbours(rows, current, outcome, ts, tie_break, None)
+    short = with_neighbours(rows.join(long, list(outcome), "left_anti"), current, outcome, ts, tie_break, None)
+    return short.unionByName(_over_slices(rows.join(long, list(outcome), "left_semi"), current, outcome, ts, tie_break, number).select(*short.columns))
+
+
+def _over_slices(
+    touches: DataFrame, current: Sequence[str], outcome: Sequence[str], ts: str, tie_break: str, number: int | None
+) -> DataFrame:
+    cut = ordered.slices(touches, outcome, [ts, tie_break], number).withColumn("_row", F.struct(*current))
+    key = [ordered.SLICE, *outcome]
     order = F.struct(ts, tie_break)
-    chunks = cut.groupBy(*chunk).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min_by("_row", order).alias("_first"),
-        F.max_by("_row", order).alias("_last"),
+    borders = ordered.borders(
+        cut, outcome, _first=F.min_by("_row", order), _last=F.max_by("_row", order), _from=F.min(ts), _to=F.max(ts)
     )
-    by_chunk = W.partitionBy(*outcome).orderBy("_chunk")
-    earlier = F.sum("_rows").over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
-    total = F.sum("_rows").over(W.partitionBy(*outcome))
-    borders = chunks.withColumn("_earlier", F.coalesce(earlier, F.lit(0))).select(
-        *chunk,
-        "_earlier",
-        (total - F.col("_earlier") - F.col("_rows")).alias("_later"),
-        F.lag("_last").over(by_chunk).alias("_before"),
-        F.lead("_first").over(by_chunk).alias("_after"),
+    along = W.partitionBy(*outcome).orderBy(ordered.SLICE)
+    borders = borders.withColumns({"_before": F.lag("_last").over(along), "_after": F.lead("_first").over(along)})
+    # touches of one time may lie in several slices: how many of a slice's first time come before it, of its last time after it
+    ends = borders.select(*key, F.explode(F.array_distinct(F.array("_from", "_to"))).alias(ts))
+    tied = cut.join(ends, [*key, ts], "left_semi").groupBy(*key, ts).agg(F.count(F.lit(1)).alias("_n"))
+    same = W.partitionBy(*outcome, ts).orderBy(ordered.SLICE)
+    tied = tied.select(
+        *key,
+        F.col(ts).alias("_ts"),
+        F.coalesce(F.sum("_n").over(same.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_n_before"),
+        F.coalesce(F.sum("_n").over(same.rowsBetween(1, W.unboundedFollowing)), F.lit(0)).alias("_n_after"),
     )
-    return _local(cut, chunk, ts, tie_break).join(borders, chunk).select(
+    for side, end in (("_n_before", "_from"), ("_n_after", "_to")):
+        borders = borders.join(tied.select(*key, F.col("_ts").alias(end), F.col(side)), [*key, end])
+    forward = F.col("forward_step") + F.col("_earlier") - F.when(F.col(ts) == F.col("_from"), F.col("_n_before")).otherwise(0)
+    backward = F.col("backward_step") + F.col("_later") - F.when(F.col(ts) == F.col("_to"), F.col("_n_after")).otherwise(0)
+    found = _local(cut, key, ts, tie_break).join(borders.drop("_rows", "_first", "_last"), key)
+    return found.select(
         *touches.columns,
         F.coalesce("previous", "_before").alias("previous"),
         F.coalesce("next", "_after").alias("next"),
-        (F.col("forward_step") + F.col("_earlier")).alias("forward_step"),
-        (F.col("backward_step") + F.col("_later")).alias("backward_step"),
+        forward.alias("forward_step"),
+        backward.alias("backward_step"),
     )
 
 
@@ -107,7 +122,7 @@ def chrono_events(
 
     A list needs a bound; :func:`chrono_steps` has the events of all outcomes.
     """
-    steps = with_neighbours(short_paths(touches, max_length, outcome), current, outcome, chunk_seconds=None)
+    steps = with_neighbours(short_paths(touches, max_length, outcome), current, outcome, long_path=None)
 
     def names(side: str) -> list[Column]:
         return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in current]

@@ -1,6 +1,7 @@
 """Write results and stages."""
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -42,9 +43,14 @@ def write_tsv(df: DataFrame, path: str, null: str | None = None, by: Sequence[st
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir, or a folder of our own where it is unset and driver and executors are one process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        raise ValueError("give a path or set spark.checkpoint.dir to a shared folder")
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("give a path or set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="pathweave-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

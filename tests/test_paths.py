@@ -1,12 +1,14 @@
 import datetime as dt
 import itertools
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pathweave.operators import encode, paths, sequence
-from pathweave.operators.path_counts import ordered_counts
+from pathweave.operators import encode, ordered, path_counts, paths, sequence
 from pathweave.plans.link_queries import merged
 
 T0 = dt.datetime(2024, 1, 1)
@@ -95,15 +97,95 @@ def test_against_brute_force(spark):
     assert counts(paths.unordered_pairs(t)) == unordered
 
 
-def test_counting_in_chunks(monkeypatch):
-    import pandas as pd
-
-    from pathweave.operators import path_counts
-
-    monkeypatch.setattr(path_counts, "CHUNK_TOUCHES", 3)
-    batch = pd.DataFrame({"path_length": [2, 3, 2], "path": [["a", "b"], ["b", "a", "b"], ["a", "b"]]})
-    total = pd.concat(list(ordered_counts(iter([batch])))).groupby(["path_length", "channel_1", "channel_2"]).n.sum()
-    assert total.to_dict() == {(2, "a", "b"): 2, (3, "b", "a"): 1, (3, "b", "b"): 1, (3, "a", "b"): 1}
+def plain_pairs(paths_):
+    found = Counter()
+    for length, p in paths_:
+        found.update((length, x, y) for x, y in itertools.combinations(p, 2))
+    return +found
+
+
+@pytest.mark.parametrize("cells", [3, 40, 1 << 22])
+def test_counting_in_runs(monkeypatch, cells):
+    """Whatever the runs are, whole paths and summaries over slices give the same counts."""
+    monkeypatch.setattr(path_counts, "CELLS", cells)
+    some = random.Random(1)
+    many = [(n % 4, [some.choice(["a", "b", "c", None, "d"]) for _ in range(n)]) for n in (0, 1, 2, 3, 9, 40, 3, 1)]
+    batch = pa.record_batch([pa.array([n for n, _ in many]), pa.array([p for _, p in many], pa.list_(pa.string()))], ["path_length", "path"])
+    got = Counter()
+    for b in path_counts.pairs_of_paths(iter([batch])):
+        for r in b.to_pylist():
+            got[(r["path_length"], r["channel_1"], r["channel_2"])] += r["n"]
+    assert got == plain_pairs(many)
+    summary = path_counts.Summary()
+    codes = [some.randrange(7) for _ in range(60)]
+    for start, stop in itertools.pairwise((0, 0, 1, 20, 21, 60)):
+        summary.add(np.array(codes[start:stop], dtype=np.int64))
+    assert {(a, b): n for a, b in zip(*np.nonzero(summary.pairs)) for n in [summary.pairs[a, b]]} == {k[1:]: n for k, n in plain_pairs([(0, codes)]).items()}
+
+
+def random_touches(spark, sizes, seconds, channels, seed=0):
+    some = random.Random(seed)
+    rows = []
+    for o, n in enumerate(sizes):
+        rows += [(o, o * 10_000 + k, some.choice(channels), some.randrange(seconds)) for k in range(n)]
+    some.shuffle(rows)
+    return rows, matches(spark, *rows).repartition(3)
+
+
+@pytest.mark.parametrize("seconds", [1, 30, 100_000])
+def test_long_paths_over_slices(spark, seconds):
+    """Pairs of paths that lie in several slices, with all their touches in a second or spread."""
+    rows, df = random_touches(spark, [400, 3, 250, 1, 90], seconds, ["a", "b", "c", "d"])
+    t = paths.path_touches(df)
+    want = Counter()
+    for o in range(5):
+        own = sorted((s, e, c) for p, e, c, s in rows if p == o)
+        want += plain_pairs([(len(own), [c for _, _, c in own])])
+    for number in (1, 7, 50):
+        assert counts(paths.ordered_pairs(t, long_path=60, number=number)) == want
+
+
+def test_three_million_touches_in_a_second(spark):
+    """One path, all at one time: its rows are spread over the slices, and nothing holds it whole."""
+    n, c = 3_000_000, 30
+    t = spark.range(n, numPartitions=8).select(
+        F.lit(1).cast("bigint").alias("transaction_id"), F.lit(1).cast("bigint").alias("item_id"), F.col("id").alias("event_id"),
+        F.concat(F.lit("c"), F.col("id") % c).alias("channel_name"), F.lit(T0).cast("timestamp_ntz").alias("event_ts"),
+    )
+    got = counts(paths.ordered_pairs(t, number=8))
+    each = n // c
+    assert got[(n, "c3", "c3")] == each * (each - 1) // 2
+    assert got[(n, "c3", "c7")] == each * (each + 1) // 2 and got[(n, "c7", "c3")] == each * (each - 1) // 2
+    assert len(got) == c * c and sum(got.values()) == n * (n - 1) // 2
+    rows = ordered.slices(t, list(paths.OUTCOME), ["event_ts", "event_id"], 8).groupBy("_slice").count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < n / 5
+
+
+def test_five_thousand_channels(spark):
+    n = 5_500
+    t = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("transaction_id"), F.lit(1).cast("bigint").alias("item_id"), F.col("id").alias("event_id"),
+        F.concat(F.lit("c"), F.col("id") % 5000).alias("channel_name"), F.lit(T0).cast("timestamp_ntz").alias("event_ts"),
+    )
+    found = paths.ordered_pairs(t, long_path=1000, number=2).select("channel_1", "channel_2", "n")
+    assert found.agg(F.sum("n"), F.max("n")).first() == (n * (n - 1) // 2, 3)
+    assert sorted(map(tuple, found.where("channel_1 = 'c7' and channel_2 in ('c7', 'c3', 'c4000')").collect())) == [("c7", "c3", 1), ("c7", "c4000", 1), ("c7", "c7", 1)]
+
+
+@pytest.mark.parametrize("seconds", [1, 25, 100_000])
+@pytest.mark.parametrize("number", [1, 9])
+def test_steps_over_slices(spark, seconds, number):
+    rows, df = random_touches(spark, [300, 5, 200, 1], seconds, ["a", "b", "c"], seed=2)
+    got = {}
+    for r in sequence.with_neighbours(df, ["channel_name", "event_id"], long_path=50, number=number).collect():
+        got[r.event_id] = (r.previous and tuple(r.previous), r.next and tuple(r.next), r.forward_step, r.backward_step)
+    for o in range(4):
+        own = sorted((s, e, c) for p, e, c, s in rows if p == o)
+        times = [s for s, _, _ in own]
+        for k, (s, e, c) in enumerate(own):
+            side = [None if not 0 <= j < len(own) else (own[j][2], own[j][1]) for j in (k - 1, k + 1)]
+            assert got.pop(e) == (*side, 1 + sum(x < s for x in times), 1 + sum(x > s for x in times))
+    assert not got
 
 
 def test_text_round_trip(spark):
@@ -127,12 +209,12 @@ def test_mobile_only(spark):
     assert sorted(r.transaction_id for r in paths.exact_device_outcomes(df).collect()) == [1, 1, 4]
 
 
-@pytest.mark.parametrize("chunk", [None, 1, 3600, 10**9])
-def test_neighbours_and_steps(spark, chunk):
+@pytest.mark.parametrize("long_path", [None, 1, 3, 10**9])
+def test_neighbours_and_steps(spark, long_path):
     df = matches(spark, (1, 1, "a", 0), (1, 2, "b", 2), (1, 3, "c", 2), (1, 4, "d", 9000), (2, 5, "z", 1))
     got = {
         r.event_id: (r.previous and r.previous.channel_name, r.next and r.next.channel_name, r.forward_step, r.backward_step)
-        for r in sequence.with_neighbours(df, ["channel_name"], chunk_seconds=chunk).collect()
+        for r in sequence.with_neighbours(df, ["channel_name"], long_path=long_path).collect()
     }
     assert got == {
         1: (None, "b", 1, 4), 2: ("a", "c", 2, 2), 3: ("b", "d", 2, 2), 4: ("c", None, 4, 1), 5: (None, None, 1, 1),
