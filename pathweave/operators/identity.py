@@ -2,8 +2,10 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_valid_device, is_zero_device, usable_key
@@ -35,36 +37,35 @@ def resolve_identity(
 
     A key with several person ids yields several rows; a row no map knows is
     kept once, labelled ``unresolved``.
+
+    Who a row belongs to hangs on its keys alone.  So the distinct combinations of keys are listed once per
+    key, all maps are joined in one equi-join on (rank of the map, key), and the persons of a combination's least rank are kept,
+    task by task before they meet.  The rows themselves are shuffled once, whatever the number of maps.
     """
-    rows = df.drop(person).withColumns(
-        {person: F.lit(None).cast("string"), "join_strategy": F.lit(None).cast("string")}
+    keys = [f"_key_{i}" for i in range(len(maps))]
+    rows = df.drop(person).withColumns({k: usable_key(m.column, m.kind) for k, m in zip(keys, maps)})
+    combined = F.concat_ws("|", *[F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in keys])
+    rows = rows.withColumn("_keys", F.when(F.coalesce(*keys).isNotNull(), combined))
+    known = reduce(
+        DataFrame.unionByName,
+        [
+            m.table.select(F.lit(i).alias("_map"), F.col(m.key).cast("string").alias("_map_key"), F.col(m.person).alias("_map_person"))
+            for i, m in enumerate(maps)
+        ],
     )
-    kept = rows.columns
-    for m in maps:
-        owners = m.table.select(
-            F.col(m.key).cast("string").alias("_map_key"),
-            F.col(m.person).alias("_map_person"),
-        ).where(F.col("_map_person").isNotNull()).distinct()
-        # a resolved row has no key any more, so a weaker map cannot match it
-        open_key = F.when(F.col(person).isNull(), usable_key(m.column, m.kind))
-        joined = skew.skew_join(
-            rows.withColumn("_open_key", open_key),
-            owners,
-            [("_open_key", "_map_key")],
-            how="left", spread_by=ids,
-            # counted on the untouched rows: counting on the partly resolved ones would repeat the joins so far
-            count_on=df.withColumn("_open_key", usable_key(m.column, m.kind)),
-            share=share, min_rows=min_rows,
-        )
-        rows = joined.withColumns(
-            {
-                "join_strategy": F.when(F.col("_map_person").isNotNull(), m.name).otherwise(F.col("join_strategy")),
-                person: F.coalesce(person, "_map_person"),
-            }
-        ).select(*kept)
-    if unresolved is not None:
-        rows = rows.withColumn("join_strategy", F.coalesce("join_strategy", F.lit(unresolved)))
-    return rows
+    known = known.where(F.col("_map_key").isNotNull() & F.col("_map_person").isNotNull()).distinct()
+    combinations = rows.where(F.col("_keys").isNotNull()).groupBy("_keys", *keys).agg(F.count(F.lit(1)).alias("_rows"))
+    listed = combinations.select(
+        F.col("_keys").alias("_of"), F.posexplode(F.array(*keys)).alias("_rank", "_key")
+    ).where(F.col("_key").isNotNull())
+    # narrow rows on either side: Spark splits what is skewed in an inner join
+    found = listed.join(known, (F.col("_rank") == F.col("_map")) & (F.col("_key") == F.col("_map_key")))
+    strongest = F.rank().over(W.partitionBy("_of").orderBy("_rank"))
+    names = F.array(*[F.lit(m.name) for m in maps])
+    found = found.withColumn("_nth", strongest).where("_nth = 1").select("_of", "_map_person", names[F.col("_rank")].alias("_strategy"))
+    joined = skew.skew_join(rows, found, [("_keys", "_of")], how="left", spread_by=ids, counted=combinations, share=share, min_rows=min_rows)
+    strategy = F.col("_strategy") if unresolved is None else F.coalesce("_strategy", F.lit(unresolved))
+    return joined.select(*df.drop(person, "join_strategy").columns, F.col("_map_person").alias(person), strategy.alias("join_strategy"))
 
 
 def anonymous(
