@@ -1,21 +1,14 @@
 """Which channels occur together more often than chance would have it."""
 
-import math
-import sys
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import distributions
 from .paths import OUTCOME
 
-# the UDF below travels with its helpers, so workers need not have this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def path_kinds(df: DataFrame, channel: str, outcome: Sequence[str] = OUTCOME) -> DataFrame:
     """``channels`` (sorted distinct set) and ``n_paths``, how many outcomes have exactly that set."""
@@ -78,87 +71,29 @@ def lift(pairs: DataFrame, digits: int | None = 5) -> DataFrame:
     )
 
 
-def _log_choose(n: float, k: float) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-
-def _tail_sum(start: int, stop: int, step: int, n1: int, n2: int, n: int) -> float:
-    """Sum of hypergeometric probabilities from ``start`` outwards, away from the mode.
-
-    Terms follow from one another by a ratio and fall all the way, so the sum
-    ends when a term no longer changes it: after some standard deviations.
-    """
-    total, k = 0.0, start
-    log_p = _log_choose(n2, k) + _log_choose(n - n2, n1 - k) - _log_choose(n, n1)
-    while True:
-        total += math.exp(log_p)
-        if k == stop or log_p < -745 or math.exp(log_p) < total * 1e-17:
-            return min(total, 1.0)
-        if step > 0:
-            ratio = (n2 - k) * (n1 - k) / ((k + 1) * (n - n2 - n1 + k + 1))
-        else:
-            ratio = k * (n - n2 - n1 + k) / ((n2 - k + 1) * (n1 - k + 1))
-        log_p += math.log(ratio)
-        k += step
-
-
-def _tails(observed: int, n1: int, n2: int, n: int) -> tuple[float, float]:
-    """P(X <= observed) and P(X >= observed): one tail is summed away from the mode, the other is what is left."""
-    low, high = max(0, n1 + n2 - n), min(n1, n2)
-    mode = (n1 + 1) * (n2 + 1) // (n + 2)
-    if observed <= mode:
-        below = _tail_sum(observed, low, -1, n1, n2, n)
-        less = _tail_sum(observed - 1, low, -1, n1, n2, n) if observed > low else 0.0
-        return below, max(0.0, 1.0 - less)
-    above = _tail_sum(observed, high, 1, n1, n2, n)
-    more = _tail_sum(observed + 1, high, 1, n1, n2, n) if observed < high else 0.0
-    return max(0.0, 1.0 - more), above
-
-
-def _tests(observed: int, n1: int, n2: int, n: int) -> tuple[float, float, float | None, bool]:
-    p_lt, p_gt = _tails(observed, n1, n2, n)
-    cells = (
-        (observed, n1 * n2 / n),
-        (n1 - observed, n1 * (n - n2) / n),
-        (n2 - observed, (n - n1) * n2 / n),
-        (n - n1 - n2 + observed, (n - n1) * (n - n2) / n),
-    )
-    if any(e == 0 for _, e in cells):
-        return p_lt, p_gt, None, True
-    correction = min(0.5, *(abs(o - e) for o, e in cells))
-    statistic = sum((abs(o - e) - correction) ** 2 / e for o, e in cells)
-    return p_lt, p_gt, math.erfc(math.sqrt(statistic / 2)), any(e < 5 for _, e in cells)
-
-
-_TESTED = (
-    T.StructType()
-    .add("p_lt", T.DoubleType())
-    .add("p_gt", T.DoubleType())
-    .add("p_value_chisq", T.DoubleType())
-    .add("unstable_pvalue", T.BooleanType())
-)
-
-
-@F.pandas_udf(_TESTED)
-def _pair_tests(observed: pd.Series, n1: pd.Series, n2: pd.Series, n: pd.Series) -> pd.DataFrame:
-    rows = [_tests(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(observed, n1, n2, n)]
-    return pd.DataFrame(rows, columns=["p_lt", "p_gt", "p_value_chisq", "unstable_pvalue"])
-
-
 def pair_tests(pairs: DataFrame, digits: int | None = 5) -> DataFrame:
     """Add P(X <= observed), P(X >= observed) and the corrected chi-square p-value of each pair.
 
-    Spark has no such distribution functions, so a vectorised UDF works on
-    the few pairs, never on paths.
+    The p-value is null where an expected cell is empty, and unstable where one is below 5.
     """
-    tested = pairs.withColumn("_t", _pair_tests("observed_pairs", "incidence_1", "incidence_2", "n"))
-    cut = (lambda c: F.col(c)) if digits is None else (lambda c: F.round(c, digits))
-    return tested.select(
+    o, n1, n2, n = (F.col(c).cast("double") for c in ("observed_pairs", "incidence_1", "incidence_2", "n"))
+    p_lt, p_gt = distributions.hypergeometric_tails(o, n1, n2, n)
+    cells = [
+        (o, n1 * n2 / n),
+        (n1 - o, n1 * (n - n2) / n),
+        (n2 - o, (n - n1) * n2 / n),
+        (n - n1 - n2 + o, (n - n1) * (n - n2) / n),
+    ]
+    correction = F.least(F.lit(0.5), *[F.abs(seen - expected) for seen, expected in cells])
+    statistic = sum((F.abs(seen - expected) - correction) ** 2 / expected for seen, expected in cells)
+    least = F.least(*[expected for _, expected in cells])
+    cut = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    return pairs.select(
         *pairs.columns,
-        cut("_t.p_value_chisq").alias("p_value_chisq"),
-        F.col("_t.unstable_pvalue").alias("unstable_pvalue"),
-        cut("_t.p_lt").alias("p_lt"),
-        cut("_t.p_gt").alias("p_gt"),
+        cut(F.when(least > 0, distributions.erfc(F.sqrt(statistic / 2)))).alias("p_value_chisq"),
+        (least < 5).alias("unstable_pvalue"),
+        cut(p_lt).alias("p_lt"),
+        cut(p_gt).alias("p_gt"),
     )
 
 

@@ -129,7 +129,32 @@ def pair_lift_shown(spark, sf):
     return _lifted(spark, sf, ["Unassigned", "epn"]).withColumn("expected_pairs", F.round("expected_pairs", 6))
 
 
-@query("pair_tests")
+# hypergeometric probabilities from lgamma, chi-square p-values (erfc) from a series up to 2 and a continued fraction beyond
+_TESTS = {
+    "prob": """SELECT channel_1, channel_2, k, exp(lgamma(incidence_2 + 1) - lgamma(k + 1) - lgamma(incidence_2 - k + 1) + lgamma(n - incidence_2 + 1)
+        - lgamma(incidence_1 - k + 1) - lgamma(n - incidence_2 - incidence_1 + k + 1) - lgamma(n + 1) + lgamma(incidence_1 + 1) + lgamma(n - incidence_1 + 1)) AS p
+        FROM (SELECT *, unnest(range(greatest(0, incidence_1 + incidence_2 - n)::BIGINT, least(incidence_1, incidence_2)::BIGINT + 1)) AS k FROM cont)""",
+    "cells": """SELECT *, [[observed_pairs, incidence_1::DOUBLE * incidence_2 / n], [incidence_1 - observed_pairs, incidence_1::DOUBLE * (n - incidence_2) / n],
+        [incidence_2 - observed_pairs, (n - incidence_1)::DOUBLE * incidence_2 / n],
+        [n - incidence_1 - incidence_2 + observed_pairs, (n - incidence_1)::DOUBLE * (n - incidence_2) / n]] AS c FROM cont""",
+    "chi": """SELECT *, CASE WHEN list_min(list_transform(c, lambda x: x[2])) > 0 THEN sqrt(list_sum(list_transform(c, lambda x:
+        pow(abs(x[1] - x[2]) - least(0.5, list_min(list_transform(c, lambda y: abs(y[1] - y[2])))), 2) / x[2])) / 2) END AS z,
+        list_min(list_transform(c, lambda x: x[2])) < 5 AS unstable_pvalue FROM cells""",
+    "chisq": """SELECT *, CASE WHEN z IS NULL THEN NULL WHEN z < 2 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 51),
+        lambda i: z * list_product(list_concat([1.0::DOUBLE], list_transform(range(1, i + 1), lambda j: 2 * z * z / (2 * j + 1))))))
+        ELSE exp(-z * z) / sqrt(pi()) / list_reduce(list_concat([z], list_transform(range(80, 0, -1), lambda i: i::DOUBLE)), lambda a, b: z + b / 2 / a) END AS p FROM chi""",
+}
+
+
+@query(
+    "pair_tests",
+    merged_sql(
+        """SELECT channel_1, channel_2, incidence_1, incidence_2, observed_pairs, n, round(chisq.p, 5) AS p_value_chisq, unstable_pvalue,
+           round(least(1, sum(prob.p) FILTER (WHERE k <= observed_pairs)), 5) AS p_lt, round(least(1, sum(prob.p) FILTER (WHERE k >= observed_pairs)), 5) AS p_gt
+           FROM chisq JOIN prob USING (channel_1, channel_2) GROUP BY ALL""",
+        extra=_lift_views() | _TESTS,
+    ),
+)
 def pair_tests(spark, sf):
     return stats.pair_tests(stats.contingency(stats.path_kinds(_channels(spark, sf), "channel_name")))
 
