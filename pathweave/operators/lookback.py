@@ -121,7 +121,7 @@ def lookback_join(
     return pairs.drop("_key", "_akey", "_slot", "_aslot").withColumn("join_strategy", F.lit(key.name))
 
 
-def _by_key(df: DataFrame, columns: Sequence[tuple[int, str, str]], prio: str, value: str) -> DataFrame:
+def by_key(df: DataFrame, columns: Sequence[tuple[int, str, str]], prio: str, value: str) -> DataFrame:
     """One row per usable key of a row: its rank and its value."""
     found = F.array(*[F.struct(F.lit(i).alias(prio), usable_key(c, kind).alias(value)) for i, c, kind in columns])
     # no lambda here: equal plans of equal tables let Spark reuse one shuffle for all uses
@@ -147,8 +147,8 @@ def link(
     once per usable key and (key rank, key value) is what is joined on.
     ``bucket_seconds`` cuts time as in :func:`lookback_join`.
     """
-    a = _by_key(touches, [(i, k.touch, k.kind) for i, k in enumerate(keys)], "_rank", "_key")
-    b = _by_key(anchors, [(i, k.anchor, k.kind) for i, k in enumerate(keys)], "_arank", "_akey")
+    a = by_key(touches, [(i, k.touch, k.kind) for i, k in enumerate(keys)], "_rank", "_key")
+    b = by_key(anchors, [(i, k.anchor, k.kind) for i, k in enumerate(keys)], "_arank", "_akey")
     on = [("_rank", "_arank"), ("_key", "_akey")]
     if bucket_seconds:
         a, b = _in_buckets(a, b, window, touch, anchor, bucket_seconds)
@@ -157,6 +157,11 @@ def link(
         a, b, on, spread_by=touch.ids, spread_right_by=anchor.ids,
         condition=_in_window(window, touch, anchor), share=share, min_rows=min_rows,
     )
+    return strongest(matches, keys, touch, anchor, tie_break)
+
+
+def strongest(matches: DataFrame, keys: Sequence[Key], touch: Side, anchor: Side, tie_break: Sequence[Column] = ()) -> DataFrame:
+    """Of the rows of a (touch, anchor) the one matched by the strongest key, which ``join_strategy`` names."""
     best = keep_first(matches, [*touch.ids, *anchor.ids], [F.col("_rank"), *tie_break])
     names = F.array(*[F.lit(k.name) for k in keys])
     return best.withColumn("join_strategy", names[F.col("_rank")]).drop("_rank", "_arank", "_key", "_akey", "_slot", "_aslot")

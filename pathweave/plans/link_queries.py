@@ -7,6 +7,8 @@ from ..functions import labels
 from ..functions import values as v
 from ..functions.clock import lag_columns
 from ..operators import lookback as lb
+from ..operators.touch_store import TouchStore
+from ..sources.sinks import scratch
 from . import bindings as b
 from .jobs import CHECKOUT_KEYS, OUTCOME_SIDE, SESSION_KEYS, SESSION_SIDE, TOUCH_SIDE
 from .registry import good_device, in_window, query, sec, with_views
@@ -145,6 +147,35 @@ def merge_single_matches(spark, sf):
     return lb.merge_matches(found, [k.name for k in CHECKOUT_KEYS], PAIR).select(*PAIR, "join_strategy")
 
 
+@query(
+    "lookback_stored",
+    with_views("SELECT event_id, transaction_id, item_id, s AS join_strategy FROM p3", "touch", "outcome", extra=_FULL_OUTER),
+)
+def lookback_stored(spark, sf):
+    """From a store that was written in two goes, some days twice, the first time with other rows."""
+    store = TouchStore(spark, scratch(spark, "touches"), CHECKOUT_KEYS, TOUCH_SIDE)
+    rows = b.touches(spark, sf)
+    again = F.col("event_dt") < "2024-01-11"
+    store.write(rows.where(again).withColumn("user_id", F.lit(1).cast("long")))
+    store.write(rows.where(again))
+    store.write(rows.where(~again))
+    return store.link(b.outcomes(spark, sf), lb.CHECKOUT, OUTCOME_SIDE).select(*PAIR, "join_strategy")
+
+
+@query(
+    "lookback_stored_days",
+    with_views(
+        "SELECT event_id, transaction_id, item_id, s AS join_strategy FROM p3 JOIN outcome USING (transaction_id, item_id) WHERE created_dt BETWEEN DATE '2024-01-20' AND DATE '2024-01-22'",
+        "touch", "outcome", extra=_FULL_OUTER,
+    ),
+)
+def lookback_stored_days(spark, sf):
+    """The anchors of three days: reads the days of touches that their windows reach."""
+    store = TouchStore(spark, scratch(spark, "touches"), CHECKOUT_KEYS, TOUCH_SIDE, min_rows=1000)
+    store.write(b.touches(spark, sf))
+    return store.link(b.outcomes(spark, sf), lb.CHECKOUT, OUTCOME_SIDE, "2024-01-20", "2024-01-22").select(*PAIR, "join_strategy")
+
+
 _INTENT_KEYS = (
     lb.Key("uid", "user_id", "intent_user_id", "id"),
     lb.Key("did", "device_id", "intent_device_id", "device"),

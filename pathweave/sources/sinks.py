@@ -54,6 +54,13 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder under the session's checkpoint directory, which goes with the session."""
+    path = f"{_checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Delete a stage at the end, if the session is still there to do it."""
     jvm = spark.sparkContext._jvm
@@ -73,8 +80,7 @@ def stage(df: DataFrame, path: str | None = None, by: Sequence[str] = ()) -> Dat
     """
     spark = df.sparkSession
     if path is None:
-        path = f"{_checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, path)
+        path = scratch(spark, "stage")
     writer = df.hint("rebalance", *by).write.option("partitionOverwriteMode", "static").partitionBy(*by) if by else df.write
     writer.mode("overwrite").parquet(path)
     return spark.read.option("basePath", path).schema(df.schema).parquet(path)

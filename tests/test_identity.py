@@ -1,8 +1,8 @@
 import random
-import re
 from collections import Counter
 
 import pytest
+from plans import shuffles_of
 
 from pathweave.operators import identity
 
@@ -41,13 +41,6 @@ def test_first_map_that_knows_the_session(spark, min_rows):
     ]
 
 
-def shuffles_of(df, column):
-    """Exchanges of the plan that carry a column."""
-    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    nodes = re.findall(r"\(\d+\) (\w+)[^\n]*\nInput[^:]*: \[([^\n]*)\]", plan)
-    return sum(name == "Exchange" and re.search(rf"\b{column}#", columns) is not None for name, columns in nodes)
-
-
 @pytest.mark.parametrize("number", [1, 2, 3])
 def test_rows_are_shuffled_once(spark, number):
     rows = sessions(spark, [("g", 1, 7, None, None)])
