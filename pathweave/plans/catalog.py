@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     link_queries,
     path_queries,
     session_queries,
+    source_queries,
     stat_queries,
     touch_queries,
 )

@@ -104,18 +104,22 @@ def organic_touches(session_table: DataFrame) -> DataFrame:
 
 
 def export_organic_touches(spark: SparkSession, sessions_path: str, out: str, start: str, end: str) -> None:
-    """Organic touches as text for a warehouse load, one directory per day."""
+    """Organic touches as text for a warehouse load, one directory per day, with a manifest."""
     days = scan.in_range(scan.scan(spark, sessions_path), start, end, "session_start_dt")
-    sinks.write_tsv(organic_touches(days), out, null="\\N", by=["dt"])
+    sinks.write_days_tsv(organic_touches(days), out, null="\\N")
 
 
 def backfill_organic_touches(spark: SparkSession, sessions_path: str, out: str, start: str, end: str) -> list[str]:
-    """Export just the days of the range that ``out`` does not have yet; returns them."""
+    """Export just the days of the range that ``out`` does not have, or not as its manifest says; returns them."""
     written = scan.partition_days(spark, out, "dt")
+    if sinks.exists(spark, f"{sinks.manifest_path(out)}/dt=*") and not written.isEmpty():
+        written = written.join(sinks.damaged_days(spark, out), "dt", "left_anti")
     missing = sorted(str(r["dt"]) for r in scan.missing_days(written, start, end, "dt").collect())
     if missing:
-        days = scan.scan(spark, sessions_path).where(F.col("session_start_dt").cast("date").cast("string").isin(missing))
-        sinks.write_tsv(organic_touches(days), out, null="\\N", by=["dt"])
+        table = scan.scan(spark, sessions_path)
+        kind = table.schema["session_start_dt"].dataType  # the literals take the column's type, so that the filter reaches the files
+        days = table.where(F.col("session_start_dt").isin(*[F.lit(day).cast("date").cast(kind) for day in missing]))
+        sinks.write_days_tsv(organic_touches(days), out, null="\\N")
     return missing
 
 
@@ -234,7 +238,7 @@ def correlate_sessions(
     else:
         chosen = sessions.cohort(days, cohort)
     if fraction is not None:
-        chosen = scan.bernoulli_sample(chosen, fraction, seed)
+        chosen = scan.bernoulli_sample(chosen, fraction, seed, sessions.SESSION_KEYS)
     touches = scan.in_range(scan.scan(spark, touches_path), touch_start, end).drop("dt")
     clicks = touches.where(F.col("event_type_id").isin(*v.SESSION_CLICKS))
     used = [k for k in SESSION_KEYS if k.name in keys]

@@ -1,5 +1,7 @@
 """Read partitioned tables."""
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,29 @@ def partition_days(spark: SparkSession, path: str, column: str = "dt") -> DataFr
     return spark.createDataFrame(names, f"{column} string")
 
 
-def bernoulli_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Random rows without replacement."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def of_days(df: DataFrame, days: DataFrame, column: str = "dt") -> DataFrame:
+    """Rows of the days that ``days`` has in ``column``; of a partitioned table Spark reads only these, once it knows them."""
+    return df.join(days.select(column).distinct(), column, "left_semi")
+
+
+def _point(seed: int, columns: Sequence[str]) -> Column:
+    """0 <= x < 2**32, from an MD5 of the seed and the columns (as text)."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *named)), 1, 8), 16, 10).cast("bigint")
+
+
+def bernoulli_sample(
+    df: DataFrame, fraction: float, seed: int, by: Sequence[str], stratum: str | None = None, fractions: Mapping | None = None
+) -> DataFrame:
+    """Each row with probability ``fraction``, or that of its ``stratum`` in ``fractions``.
+
+    Whether a row is in hangs on the seed and its identity ``by`` alone, so a sample survives another partitioning, order or engine, holds what a
+    smaller fraction's holds, and rows of one identity are in together.
+    """
+    limit = F.lit(float(fraction))
+    for value, own in (fractions or {}).items():
+        limit = F.when(F.col(stratum).eqNullSafe(F.lit(value)), float(own)).otherwise(limit)
+    return df.where(_point(seed, by) < limit * float(2**32))
 
 
 def key_sample(df: DataFrame, key: str, one_in: int, remainder: int = 0) -> DataFrame:

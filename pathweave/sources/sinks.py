@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
@@ -42,6 +43,48 @@ def write_tsv(df: DataFrame, path: str, null: str | None = None, by: Sequence[st
     writer.csv(path)
 
 
+def day_digests(spark: SparkSession, path: str, day: str = "dt") -> DataFrame:
+    """(day, n_rows, digest) of the text files of each day directory; the digest does not depend on their order or number."""
+    lines = spark.read.option("basePath", path).text(f"{path.rstrip('/')}/{day}=*")
+    hashed = F.xxhash64("value").cast("decimal(38,0)")
+    return lines.groupBy(F.col(day).cast("string").alias(day)).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(hashed).alias("digest"))
+
+
+def manifest_path(path: str) -> str:
+    return path.rstrip("/") + "-manifest"
+
+
+def write_days_tsv(df: DataFrame, path: str, null: str | None = None, day: str = "dt") -> None:
+    """:func:`write_tsv` by day, with a manifest beside it: rows and digest of each day that was written.
+
+    A day that does not hold the rows it was given is an error.
+    """
+    spark = df.sparkSession
+    given = stage(df.groupBy(F.col(day).cast("string").alias(day)).agg(F.count(F.lit(1)).alias("_given")))
+    write_tsv(df, path, null=null, by=[day])
+    if given.isEmpty():
+        return
+    written = stage(day_digests(spark, path, day).join(given, day))
+    wrong = written.where(F.col("n_rows") != F.col("_given"))
+    if written.count() != given.count() or not wrong.isEmpty():
+        raise OSError(f"{path} does not hold the rows it was given")
+    write_partitioned(written.drop("_given"), manifest_path(path), [day])
+
+
+def damaged_days(spark: SparkSession, path: str, day: str = "dt") -> DataFrame:
+    """Days of the manifest whose directory is short, changed or gone."""
+    listed = spark.read.schema(f"n_rows bigint, digest decimal(38,0), {day} string").parquet(manifest_path(path))
+    there = day_digests(spark, path, day).withColumnsRenamed({"n_rows": "_n", "digest": "_d"})
+    joined = listed.join(there, day, "left")
+    return joined.where(~(F.col("n_rows").eqNullSafe(F.col("_n")) & F.col("digest").eqNullSafe(F.col("_d")))).select(day)
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, or anything that a pattern selects, is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
 def _checkpoint_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset and driver and executors are one process."""
     context = spark.sparkContext

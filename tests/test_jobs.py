@@ -153,3 +153,9 @@ def test_organic_backfill_writes_only_missing_days(spark, store, tmp_path):
     done = jobs.backfill_organic_touches(spark, f"{store}/sessions", out, START, END)
     assert gone.removeprefix("dt=") in done and not set(done) & {d.removeprefix("dt=") for d in days[1:]}
     assert sorted(d for d in os.listdir(out) if d.startswith("dt=")) == days
+    cut = next(f for f in os.listdir(f"{out}/{days[-1]}") if f.endswith(".csv"))
+    with open(f"{out}/{days[-1]}/{cut}", "r+") as f:
+        f.truncate(len(f.readline()))
+    os.remove(f"{out}/{days[-1]}/.{cut}.crc")
+    done = jobs.backfill_organic_touches(spark, f"{store}/sessions", out, START, END)
+    assert days[-1].removeprefix("dt=") in done and not set(done) & {d.removeprefix("dt=") for d in days[:-1]}

@@ -1,5 +1,6 @@
 import os
 
+from plans import formatted
 from pyspark.sql import functions as F
 
 from pathweave.sources import lookups, scan, sinks
@@ -100,5 +101,47 @@ def test_samples(spark):
     part = scan.key_sample(rows, "user_id", 5)
     users = {r.user_id for r in part.select("user_id").distinct().collect()}
     assert 60 < len(users) < 140 and part.count() == len(users) * 20
-    assert 1500 < scan.bernoulli_sample(rows, 0.2, 7).count() < 2500
-    assert scan.bernoulli_sample(rows, 0.2, 7).exceptAll(scan.bernoulli_sample(rows, 0.2, 7)).count() == 0
+
+
+def test_bernoulli_sample(spark):
+    """The same rows whatever the partitioning; a larger fraction holds a smaller one's; strata have their own."""
+    rows = spark.range(10_000).withColumn("kind", F.when(F.col("id") % 4 > 0, F.col("id") % 4))
+
+    def ids(df, fraction, **kind):
+        return {r.id for r in scan.bernoulli_sample(df, fraction, 7, ["id"], **kind).collect()}
+
+    some = ids(rows, 0.2)
+    assert 1800 < len(some) < 2200
+    assert ids(rows.repartition(13), 0.2) == some == ids(rows.orderBy(F.desc("id")), 0.2)
+    assert some < ids(rows, 0.5) and ids(rows, 1.0) == set(range(10_000)) and ids(rows, 0.0) == set()
+    assert {r.id for r in scan.bernoulli_sample(rows, 0.2, 8, ["id"]).collect()} != some
+    strata = ids(rows, 0.2, stratum="kind", fractions={1: 1.0, 2: 0.0, None: 0.5})
+    assert {i for i in strata if i % 4 == 3} == {i for i in some if i % 4 == 3}
+    assert len({i for i in strata if i % 4 == 1}) == 2500 and not {i for i in strata if i % 4 == 2}
+    assert 1100 < len({i for i in strata if i % 4 == 0}) < 1400
+
+
+def test_days_known_at_run_time_prune_directories(spark, tmp_path):
+    out = str(tmp_path / "t")
+    sinks.write_partitioned(days(spark), out, ["dt"])
+    wanted = spark.createDataFrame([("2024-01-03", 1), ("2024-01-03", 2), ("2024-01-09", 3)], "dt string, x int")
+    some = scan.of_days(scan.scan(spark, out), wanted.where("x < 3"))
+    assert [r.id for r in some.collect()] == [3]
+    assert "dynamicpruning" in formatted(some)
+
+
+def test_damaged_days_are_found(spark, tmp_path):
+    out = str(tmp_path / "t")
+    table = days(spark).union(spark.createDataFrame([("2024-01-05", 4, "d"), ("2024-01-07", 5, "e"), ("2024-01-07", 6, "f")], "dt string, id int, name string"))
+    sinks.write_days_tsv(table, out, null="\\N")
+
+    def damaged():
+        return sorted(r.dt for r in sinks.damaged_days(spark, out).collect())
+
+    assert damaged() == [] and sinks.exists(spark, f"{out}/dt=2024-01-0*") and not sinks.exists(spark, f"{out}/dt=2023*")
+    os.rename(f"{out}/dt=2024-01-05", f"{tmp_path}/away")
+    sinks.write_tsv(table.where("id = 5"), out, null="\\N", by=["dt"])
+    sinks.write_tsv(table.where("id = 3").withColumn("name", F.lit("x")), out, null="\\N", by=["dt"])
+    assert damaged() == ["2024-01-03", "2024-01-05", "2024-01-07"]
+    sinks.write_days_tsv(table.where("dt > '2024-01-01'"), out, null="\\N")
+    assert damaged() == []
