@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import values as v
-from ..operators import curves, sets
+from ..operators import curves, daily_state, sets
+from ..sources.sinks import scratch, stage
 from . import bindings as b
 from .link_queries import merged, merged_sql
 from .registry import query, with_views
@@ -226,6 +227,51 @@ def pct_of_last_lag(spark, sf):
     return table.select("channel_name", "day_diff", F.round("pct_of_last", 6).alias("pct_of_last"))
 
 
+def _daily_totals(spark, sf):
+    """The state after three writes: all days by one key only, then two halves of the days as they are."""
+    clicked = _clicked(spark, sf).select("transaction_id", "item_id", "created_dt", "channel_name", "day_diff", "join_strategy")
+    clicked, out = stage(clicked), scratch(spark, "state")
+    days = b.outcomes(spark, sf).select("created_dt").distinct()
+    early = F.col("created_dt") < "2024-01-15"
+    for rows, some in ((clicked.where("join_strategy = 'uid'"), days), (clicked, days.where(early)), (clicked, days.where(~early))):
+        daily_state.replace_days(daily_state.day_summary(rows, some, "created_dt", "channel_name"), out, "created_dt")
+    return daily_state.totals(spark, out, "created_dt")
+
+
+@query(
+    "daily_state_by_channel",
+    merged_sql("SELECT channel AS channel_name, day_diff, no_txns, cumm_txns FROM cum_channel", extra=_cumulated("channel")),
+)
+def daily_state_by_channel(spark, sf):
+    return daily_state.cumulative_outcomes(_daily_totals(spark, sf), "channel_name").drop("pct_of_last")
+
+
+@query(
+    "daily_state_overall",
+    merged_sql(
+        "SELECT day_diff, no_txns, cumm_txns, round(cumm_txns * 100.0::DOUBLE / last_txns, 6) AS pct_of_last FROM cum_all", extra=_cumulated("")
+    ),
+)
+def daily_state_overall(spark, sf):
+    return daily_state.cumulative_outcomes(_daily_totals(spark, sf)).withColumn("pct_of_last", F.round("pct_of_last", 6))
+
+
+@query(
+    "daily_state_avg_clicks",
+    merged_sql(
+        "SELECT chan AS channel_name, "
+        + ", ".join(
+            f"round(count(*) FILTER (day_diff <= {d}) / nullif(count(DISTINCT transaction_id) FILTER (day_diff <= {d}), 0)::DOUBLE, 6) AS {n}"
+            for n, d in _WINDOWS.items()
+        )
+        + f" FROM {_CLICKED} GROUP BY chan"
+    ),
+)
+def daily_state_avg_clicks(spark, sf):
+    table = daily_state.average_clicks(_daily_totals(spark, sf), _WINDOWS, "channel_name")
+    return table.withColumns({c: F.round(c, 6) for c in _WINDOWS})
+
+
 _FILLED = {
     **_cumulated("channel"),
     **_cumulated(""),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions import values as v
 from ..functions.clock import lag_columns
-from ..operators import encode, identity, paths, sequence, sessions
+from ..operators import daily_state, encode, identity, paths, sequence, sessions
 from ..operators import lookback as lb
 from ..operators.dedup import keep_first
 from ..operators.skew import skew_join
@@ -268,6 +268,17 @@ def dedupe_clicks(spark: SparkSession, linked_path: str, out: str, start: str, e
     sinks.write_partitioned(keep_first(clicks, ["event_id", "item_id", "transaction_id"], order), out, ["ck_dt"])
 
 
+def update_dashboard_state(spark: SparkSession, linked_path: str, state_path: str, start: str, end: str) -> None:
+    """Summarise the outcomes of some days for the dashboard tables; days that the state has are replaced."""
+    configure(spark)
+    linked = scan.in_range(scan.scan(spark, linked_path), start, end, "ck_dt")
+    clicks = linked.where(F.col("event_type_id").isin(*v.DASHBOARD_CLICKS)).withColumns(
+        {"channel_name": F.coalesce("channel_name", F.lit("Unassigned")), "day_diff": F.datediff("ck_dt", "mktng_dt")}
+    )
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("ck_dt"))
+    daily_state.replace_days(daily_state.day_summary(clicks, days, "ck_dt", "channel_name"), state_path, "ck_dt")
+
+
 def score_specificity(spark: SparkSession, items_path: str, out: str, start: str, end: str) -> None:
     """Category breadth and specificity of each session."""
     configure(spark)
