@@ -116,7 +116,7 @@ _LIFT = """SELECT channel_1, channel_2, incidence_1, incidence_2, observed_pairs
 
 
 def _lifted(spark, sf, excluded=()):
-    return stats.lift(stats.contingency(stats.path_kinds(_channels(spark, sf), "channel_name"), excluded))
+    return stats.lift(stats.contingency_of_paths(_channels(spark, sf), "channel_name", excluded))
 
 
 @query("pair_lift", merged_sql(_LIFT, extra=_lift_views()))

@@ -1,11 +1,15 @@
+import itertools
 import math
+import random
 import time
+from collections import Counter
 from fractions import Fraction
 
 import pytest
+from plans import shuffles_of
 from pyspark.sql import functions as F
 
-from pathweave.operators import curves, distributions, sets, stats
+from pathweave.operators import bitmap, curves, distributions, sets, stats
 from pathweave.sources import lookups
 
 
@@ -109,6 +113,34 @@ def test_lift(spark):
     assert effects[("a", "b")] == 0.1
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 4096])
+def test_bitmap_index(spark, blocks):
+    """Counts from bitmaps and from sets of channels are those of a plain count; repeated rows and paths without a channel."""
+    some = random.Random(blocks)
+    rows = [(o, o % 3, c) for o in range(900) for c in some.sample("abcdefgh", some.randrange(5)) * some.choice([1, 2])]
+    rows += [(2000 + k, 0, None) for k in range(70)] + [(5, 2, None)]
+    df = spark.createDataFrame(rows, "transaction_id bigint, item_id bigint, channel string").repartition(3)
+    sets_ = {}
+    for o, i, c in rows:
+        sets_.setdefault((o, i), set()).add(c)
+    for excluded in ([], ["a", "h"]):
+        shown = [c for c in "abcdefgh" if c not in excluded]
+        incidence = Counter(c for s in sets_.values() for c in s)
+        together = Counter(p for s in sets_.values() for p in itertools.combinations(sorted(c for c in s if c), 2))
+        want = sorted((a, b, incidence[a], incidence[b], together[a, b], len(sets_)) for a, b in itertools.combinations(shown, 2))
+        table = stats.contingency_of_paths(df, "channel", excluded, blocks=blocks)
+        assert sorted(map(tuple, table.select("channel_1", "channel_2", "incidence_1", "incidence_2", "observed_pairs", "n").collect())) == want
+        kinds_ = stats.contingency(stats.path_kinds(df, "channel"), excluded)
+        assert sorted(map(tuple, kinds_.select("channel_1", "channel_2", "incidence_1", "incidence_2", "observed_pairs", "n").collect())) == want
+
+
+def test_index_has_a_word_for_63_paths(spark):
+    df = spark.range(63 * 40).selectExpr("id AS transaction_id", "1L AS item_id", "'t' AS channel")
+    index = bitmap.bitmap_index(df, "channel", blocks=1)
+    assert index.count() == 40 and index.agg(F.min(F.bit_count("bits"))).first()[0] == 63
+    assert shuffles_of(bitmap.common_counts(index, "channel"), "transaction_id") == 1
+
+
 def exact_tail(observed, n1, n2, n, above):
     ways = lambda k: math.comb(n2, k) * math.comb(n - n2, n1 - k)
     ks = range(observed, min(n1, n2) + 1) if above else range(max(0, n1 + n2 - n), observed + 1)
