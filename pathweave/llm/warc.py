@@ -1,9 +1,12 @@
 """WARC archives as chunked record tables.
 
 An archive is a table of chunk rows: (archive, record, chunk, data) with the CRC-32 of the payload up to and with that
-chunk.  In order of record and chunk the data of one archive are a valid .warc.gz file: every chunk is a gzip member of
-its own, and gzip files may be concatenated.  A payload goes through in pieces of CHUNK bytes on both ways; what is
-carried from chunk to chunk are the digests' states and a count, never the record.
+chunk.  In order of record and chunk the data of one archive are a valid .warc.gz file: every record is a gzip member of
+its own, and its chunks are consecutive pieces of it.  A payload goes through in pieces of CHUNK bytes on both ways; what is
+carried from chunk to chunk are the states of the compression and the digests and a count, never the record.
+
+Reading asks for the chunks of a record from 0 to the last, each once.  A record with chunks missing, doubled, cut or changed is an
+error that names the record.
 
 Which record a payload belongs to is found from digests before anything is written: the smallest id with a payload of
 at least ``least`` bytes is the response, others with the same bytes revisit it.  Spark's writer commits the table,
@@ -32,11 +35,6 @@ _KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(
 DATE = b"1970-01-01T00:00:00Z"  # no table has a time of capture
 
 
-def _gzip(data: bytes) -> bytes:
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
-
-
 def roles(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
     """id, digest and refers_to of each row; equal payloads have equal SHA-256 and length."""
     size = F.coalesce(F.octet_length(payload_col), F.lit(0))
@@ -75,11 +73,14 @@ def _writer(archives: int):
                 number, archive, crc = record.as_py(), record.as_py() % archives, 0
                 head = _headers(id_, url.as_py(), digest.as_py(), refers_to, len(own))
                 chunks = max(1, -(-len(own) // CHUNK))
+                packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                 for k in range(chunks):
                     part = own[k * CHUNK : (k + 1) * CHUNK]
                     crc = zlib.crc32(part, crc)
                     data = (head if k == 0 else b"") + bytes(part) + (b"\r\n\r\n" if k == chunks - 1 else b"")
-                    rows.append((archive, number, k, k == chunks - 1, crc, _gzip(data)))
+                    # a chunk can be unpacked as soon as those before it are there
+                    packed = packer.compress(data) + packer.flush(zlib.Z_FINISH if k == chunks - 1 else zlib.Z_SYNC_FLUSH)
+                    rows.append((archive, number, k, k == chunks - 1, crc, packed))
                     if len(rows) >= ROWS:
                         yield _batch(rows)
                         rows = []
@@ -123,20 +124,25 @@ def write_archives(pages: DataFrame, to: str, id_col: str = "page_id", url_col:
 
 
 class Reader:
-    """Parse one record from its chunks, in order; holds its headers and the digests' states."""
+    """Parse one record from its chunks, in order; holds its headers and the states of unpacking and digests."""
 
     def __init__(self) -> None:
+        self.unpacker = zlib.decompressobj(31)
         self.head, self.fields, self.left = b"", None, 0
         self.sha, self.crc, self.bytes = hashlib.sha256(), 0, 0
 
-    def feed(self, data: bytes, crc: int, last: bool) -> None:
-        unpacker = zlib.decompressobj(31)
-        data = unpacker.decompress(data) + unpacker.flush()
+    def feed(self, data: bytes, crc: int, last: bool) -> bytes:
+        """The payload that the chunk holds."""
+        data = self.unpacker.decompress(data)
+        if self.unpacker.eof != last or self.unpacker.unused_data:
+            raise ValueError("record is cut short" if last else "record ends before its last chunk")
         if self.fields is None:
             self.head += data
             end = self.head.find(b"\r\n\r\n")
             if end < 0:
-                return
+                if last:
+                    raise ValueError("record is cut short")
+                return b""
             if not self.head.startswith(VERSION):
                 raise ValueError("not a WARC record")
             lines = self.head[len(VERSION) : end].decode().split("\r\n")
@@ -151,6 +157,7 @@ class Reader:
             raise ValueError("chunk digest does not match")
         if last and (self.left or data[len(part) :] != b"\r\n\r\n"):
             raise ValueError("record is cut short")
+        return part
 
 
 def _id(name: str | None) -> int | None:
@@ -158,27 +165,67 @@ def _id(name: str | None) -> int | None:
     return None if value in (None, "none") else int(value)
 
 
+def _in_order(batches: Iterator[pa.RecordBatch], each) -> Iterator:
+    """What ``each(state, chunk, last, ...)`` makes of the chunks of every record, in order and each once; it gets a new Reader with chunk 0.
+
+    Rows are (record, chunk, last, crc32, data) sorted by record and chunk.
+    """
+    now, wanted, reader = None, None, None  # wanted: the next chunk of an open record
+    for batch in batches:
+        for record, chunk, last, crc, data in zip(*batch.columns, strict=True):
+            record, chunk, last = record.as_py(), chunk.as_py(), last.as_py()
+            if wanted is not None and record != now:
+                raise ValueError(f"record {now} lacks chunk {wanted}")
+            if record == now and chunk != wanted:
+                raise ValueError(f"record {record} has chunk {chunk} where {'its end' if wanted is None else wanted} was expected")
+            if record != now:
+                if chunk:
+                    raise ValueError(f"record {record} lacks chunk 0")
+                now, reader = record, Reader()
+            try:
+                yield each(reader, record, chunk, last, reader.feed(data.as_py(), crc.as_py(), last))
+            except (ValueError, zlib.error) as e:
+                raise ValueError(f"record {record}: {e}") from e
+            wanted = None if last else chunk + 1
+    if wanted is not None:
+        raise ValueError(f"record {now} lacks chunk {wanted}")
+
+
+def _finished(reader: Reader, record: int, chunk: int, last: bool, part: bytes) -> tuple | None:
+    if not last:
+        return None
+    f = reader.fields
+    declared = f["WARC-Payload-Digest"].removeprefix("sha256:")
+    if f["WARC-Type"] == "response" and reader.sha.hexdigest() != declared:
+        raise ValueError("payload digest does not match")
+    return (_id(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], _id(f.get("WARC-Refers-To")), declared, reader.sha.hexdigest(), reader.bytes)
+
+
+def _batches(rows: Iterator[tuple | None], names: list[str], kinds: tuple, most: int) -> Iterator[pa.RecordBatch]:
+    waiting: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*waiting, strict=True), kinds, strict=True)], names=names)
+
+    for row in rows:
+        if row is not None:
+            waiting.append(row)
+        if len(waiting) >= most:
+            yield batch()
+            waiting = []
+    if waiting:
+        yield batch()
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
     names, kinds = ["id", "url", "record_type", "refers_to", "declared", "digest", "length"], (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    now = None
-    for batch in batches:
-        for chunk, last, crc, data in zip(*batch.columns, strict=True):
-            if chunk.as_py() == 0:
-                now = Reader()
-            now.feed(data.as_py(), crc.as_py(), last.as_py())
-            if last.as_py():
-                f = now.fields
-                declared = f["WARC-Payload-Digest"].removeprefix("sha256:")
-                if f["WARC-Type"] == "response" and now.sha.hexdigest() != declared:
-                    raise ValueError("payload digest does not match")
-                rows.append((_id(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], _id(f.get("WARC-Refers-To")), declared, now.sha.hexdigest(), now.bytes))
-                if len(rows) >= 4096:
-                    yield batch_of()
-                    rows = []
-    if rows:
-        yield batch_of()
+    yield from _batches(_in_order(batches, _finished), names, kinds, 4096)
+
+
+def _ordered(spark: SparkSession, at: str) -> DataFrame:
+    chunks = spark.read.schema(_SCHEMA).parquet(at)
+    attach(chunks)
+    return chunks.repartition("record").sortWithinPartitions("record", "chunk").select("record", "chunk", "last", "crc32", "data")
 
 
 def read_archives(spark: SparkSession, at: str) -> DataFrame:
@@ -187,10 +234,7 @@ def read_archives(spark: SparkSession, at: str) -> DataFrame:
     Chunks of a record are brought together in order and checked against their running CRC-32, responses also against
     the declared SHA-256.  A revisit's digest and size are those of the full payload, the record it refers to.
     """
-    chunks = spark.read.schema(_SCHEMA).parquet(at)
-    attach(chunks)
-    ordered = chunks.repartition("record").sortWithinPartitions("record", "chunk").select("chunk", "last", "crc32", "data")
-    found = ordered.mapInArrow(_read, "id long, url string, record_type string, refers_to long, declared string, digest string, length long")
+    found = _ordered(spark, at).mapInArrow(_read, "id long, url string, record_type string, refers_to long, declared string, digest string, length long")
     return found.select("id", "url", "record_type", "refers_to", F.col("declared").alias("payload_digest"), "length")
 
 
@@ -203,17 +247,9 @@ def with_sizes(records: DataFrame) -> DataFrame:
 
 def payloads(spark: SparkSession, at: str) -> DataFrame:
     """record, chunk and payload bytes of each chunk, for readers that want the content."""
-    chunks = spark.read.schema(_SCHEMA).parquet(at)
-    attach(chunks)
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for chunk, last, data in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                unpacker = zlib.decompressobj(31)
-                text = unpacker.decompress(data.as_py()) + unpacker.flush()
-                text = text[text.index(b"\r\n\r\n") + 4 :] if chunk.as_py() == 0 else text
-                out.append(text[:-4] if last.as_py() else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["record", "chunk", "payload"])
-
-    return chunks.select("record", "chunk", "last", "data").mapInArrow(content, "record long, chunk int, payload binary")
+        rows = _in_order(batches, lambda reader, record, chunk, last, part: (record, chunk, part))
+        yield from _batches(rows, ["record", "chunk", "payload"], (pa.int64(), pa.int32(), pa.binary()), ROWS)
+
+    return _ordered(spark, at).mapInArrow(content, "record long, chunk int, payload binary")

@@ -1,11 +1,13 @@
 """Pages, vectors, the pipeline and the registry."""
 
+import gzip
 import hashlib
 import math
 from collections import Counter
 
 import brute
 import compare
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -50,7 +52,61 @@ def test_warc_notices_damage():
     reader = warc.Reader()
     data = warc._headers(1, "u", hashlib.sha256(b"abc").hexdigest(), None, 3) + b"abd\r\n\r\n"
     with pytest.raises(ValueError, match="chunk digest"):
-        reader.feed(warc._gzip(data), warc.zlib.crc32(b"abc"), True)
+        reader.feed(gzip.compress(data), warc.zlib.crc32(b"abc"), True)
+
+
+def chunks_of(*payloads):
+    """Chunk rows (record, chunk, last, crc32, data) as the writer makes them."""
+    rows = [(2 * i, i, "http://x/%d" % i, p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=list("abcdef"))
+    found = pa.Table.from_batches(list(warc._writer(1)(iter([batch])))).to_pylist()
+    return [tuple(r[c] for c in ("record", "chunk", "last", "crc32", "data")) for r in found]
+
+
+def read_chunks(rows):
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds)], names=list("abcde")) for r in sorted(rows, key=lambda r: r[:2])]
+    return [r["id"] for b in warc._read(iter(batches)) for r in b.to_pylist()]
+
+
+def test_warc_chunks_missing_doubled_or_cut():
+    rows = chunks_of(b"a" * 80_000, b"b" * 70_000, b"c")
+    assert read_chunks(rows) == [0, 1, 2] and [len([r for r in rows if r[0] == n]) for n in (0, 2, 4)] == [3, 3, 1]
+    for k, row in enumerate(rows):  # any chunk of a record of several gone: first, middle, last
+        if row[0] < 4:
+            with pytest.raises(ValueError, match=f"record {row[0]} "):
+                read_chunks(rows[:k] + rows[k + 1 :])
+        with pytest.raises(ValueError, match=f"record {row[0]} "):
+            read_chunks([*rows, row])
+        with pytest.raises(ValueError, match=f"record {row[0]}"):
+            read_chunks([*rows[:k], (*row[:4], row[4][: len(row[4]) - 9]), *rows[k + 1 :]])
+        with pytest.raises(ValueError, match=f"record {row[0]}"):
+            read_chunks([*rows[:k], (*row[:3], row[3] ^ 1, row[4]), *rows[k + 1 :]])
+    with pytest.raises(ValueError, match="record 0 lacks chunk 2"):
+        read_chunks(rows[:2])
+    with pytest.raises(ValueError, match="record 0 lacks chunk 0"):
+        read_chunks(rows[2:3])
+
+
+def test_warc_archive_is_a_gzip_member_a_record(spark):
+    """The bytes of an archive, member by member, are whole WARC records."""
+    texts = {1: "ä" * 60_000, 2: "x" * 200, 3: None, 4: "x" * 200}
+    pages = spark.createDataFrame([(i, f"http://p/{i}", t) for i, t in texts.items()], "page_id long, url string, html string")
+    to = shared.new_path(spark, "warc")
+    warc.write_archives(pages, to, archives=1)
+    data = b"".join(bytes(r.data) for r in spark.read.parquet(to).orderBy("record", "chunk").collect())
+    records = {}
+    while data:
+        unpacker = warc.zlib.decompressobj(31)
+        record = unpacker.decompress(data)
+        assert unpacker.eof
+        data = unpacker.unused_data
+        head, rest = record.split(b"\r\n\r\n", 1)
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert record.startswith(b"WARC/1.1\r\n") and rest[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+        records[fields["WARC-Target-URI"]] = (fields["WARC-Type"], rest[:-4])
+    assert records == {f"http://p/{i}": ("revisit", b"") if i == 4 else ("response", (t or "").encode()) for i, t in texts.items()}
 
 
 def test_top_k_awkward(spark):
