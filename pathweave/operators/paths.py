@@ -95,11 +95,14 @@ def unordered_pairs(
 
     Worked out from how often each channel occurs in a path: ``n1 * n2`` for
     two channels and ``n (n - 1) / 2`` for one, so touches are never paired.
-    Paths of any length count; ``max_length`` leaves longer ones out.
+    Paths of any length count; ``max_length`` leaves longer ones out.  The touches are read once: a path's length is the
+    number of those that come first in their event.
     """
-    counts = touches.groupBy(*outcome, "channel_name").agg(F.count(F.lit(1)).alias("n"))
-    histograms = counts.groupBy(*outcome).agg(F.sort_array(F.collect_list(F.struct("channel_name", "n"))).alias("h")).join(
-        path_lengths(touches, outcome), list(outcome)
+    place = F.row_number().over(W.partitionBy(*outcome, "event_id").orderBy("channel_name"))
+    marked = touches.select(*outcome, "channel_name", (place == 1).alias("_first"))
+    counts = marked.groupBy(*outcome, "channel_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("_first").alias("_events"))
+    histograms = counts.groupBy(*outcome).agg(
+        F.sort_array(F.collect_list(F.struct("channel_name", "n"))).alias("h"), F.sum("_events").alias("path_length")
     )
     if max_length is not None:
         histograms = histograms.where(F.col("path_length") <= max_length)

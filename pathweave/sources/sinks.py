@@ -85,7 +85,7 @@ def exists(spark: SparkSession, pattern: str) -> bool:
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset and driver and executors are one process."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -99,7 +99,7 @@ def _checkpoint_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder under the session's checkpoint directory, which goes with the session."""
-    path = f"{_checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
