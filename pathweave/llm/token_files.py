@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +34,11 @@ from pathweave.llm.shared import attach
 
 BLOCK = 1 << 18  # ids after which a block ends
 SAMPLE = 64
-MARKS = ".,;:!?#*$%&|"  # marks that the splitting pattern keeps apart from letters before them
+RECENT = 1 << 18  # units of a generation that a worker remembers
+# printable ASCII words after a space, with single line ends between them and no apostrophe: the splitting pattern cuts them where the
+# kind of characters changes, and a space goes with what follows it
+PLAIN = re.compile(r" [!-&(-~]+(?:\n[!-&(-~]+)*").fullmatch
+PIECES = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n").findall
 JOINED = 256  # new units that the library reads as one text
 MAGIC = b"EFTOK001"
 _SCHEMA = "shard int, block int, first_id long, n_docs long, n_tokens long, payload binary"
@@ -140,6 +146,29 @@ class Block:
         return None if i < self.nulls else self.base + self.doc_ids[i - self.nulls]
 
 
+class RecentUnits(UnitEncoder):
+    """A unit encoder that forgets only units that were not met for a while.
+
+    New units gather in one generation; when that is full it becomes the older one, whose units move up when they are met again.
+    """
+
+    def __init__(self, encode_all, size: int):
+        super().__init__(encode_all, size)
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, known: dict[str, bytes], lead: str, units: set[str]) -> None:
+        if known is not self.rest:
+            return super()._learn(known, lead, units)
+        if len(known) > self.size:
+            self.older, self.rest = known, {}
+            known = self.rest
+        new = units.difference(known)
+        older = self.older
+        known.update([(x, older[x]) for x in new if x in older])
+        new = [x for x in new if x not in older]
+        known.update(zip(new, self.encode_all([lead + x for x in new]), strict=True))
+
+
 _encoders: dict[str, UnitEncoder] = {}
 
 
@@ -152,8 +181,11 @@ def _encoder(path: str, text: str):
         tokenizer = Tokenizer.from_str(text)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        if hasattr(tokenizer.model, "_resize_cache"):  # units come once each: the model's own cache would only cost
-            tokenizer.model._resize_cache(0)
+        model = tokenizer.model
+        # a byte-level pattern without anything else around it, so that a word of letters is one piece
+        kind = json.loads(tokenizer.to_str())
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        by_model = kind["normalizer"] is None and kind["pre_tokenizer"] == plain and kind["post_processor"] in (None, plain)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
         vocabulary = tokenizer.get_vocab()
@@ -174,39 +206,36 @@ def _encoder(path: str, text: str):
             data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
             return [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
-        marks: dict[str, bytes] = {}
+        def piece(x: str) -> bytes:
+            """Ids of a piece that the pattern does not split: the model reads it without a text around it."""
+            return array("I", [t.id for t in model.tokenize(x.replace(" ", "\u0120").replace("\n", "\u010a"))]).tobytes()
+
+        pieces: dict[str, bytes] = {}
 
         def library(new: list[str]) -> list[bytes]:
-            """Ids of new units; a word's closing marks are split from it, as the pattern does, so the word is read once."""
-            parts, words, rest = [], {}, []
-            for x in new:
-                word = x.rstrip(MARKS)
-                if x[:1] != " " or not word[1:].isalpha() or max(word) > "\u024f":
-                    word = None
-                    if x[:1] == " " and len(x) > 1 and not x[-1].isspace() and x.find(" ", 1) < 0:
-                        words[x] = b""
-                    else:
-                        rest.append(x)
-                else:
-                    if word[1:] not in units.rest:
-                        words[word] = b""
-                    if len(word) < len(x) and x[len(word) :] not in marks:
-                        marks[x[len(word) :]] = each([x[len(word) :]])[0]
-                parts.append(word)
-            words.update(zip(words, running_text(list(words)), strict=True))
-            others = dict(zip(rest, each(rest), strict=True))
-            out = []
-            for x, word in zip(new, parts, strict=True):
-                if word is None:
-                    out.append(words[x] if x in words else others[x])
-                else:
-                    ids = words[word] if word in words else units.rest[word[1:]]
-                    out.append(ids if len(word) == len(x) else ids + marks[x[len(word) :]])
-            if len(marks) > 10_000:
-                marks.clear()
-            return out
-
-        units = UnitEncoder(library, 1 << 18)
+            """Ids of new units: plain ones piece by piece, others with one space, at the front, as running text, the rest each for itself."""
+            known: dict[str, bytes] = {}
+            if by_model:
+                if len(pieces) > RECENT:
+                    pieces.clear()
+                for x in new:
+                    if PLAIN(x) is None:
+                        continue
+                    parts = PIECES(x)
+                    if len(parts) == 1:
+                        known[x] = piece(x)
+                        continue
+                    for y in parts:
+                        if y not in pieces:
+                            pieces[y] = piece(y)
+                    known[x] = b"".join([pieces[y] for y in parts])
+            running = [x for x in new if x not in known and x[:1] == " " and len(x) > 1 and not x[-1].isspace() and x.find(" ", 1) < 0]
+            known.update(zip(running, running_text(running), strict=True))
+            rest = [x for x in new if x not in known]
+            known.update(zip(rest, each(rest), strict=True))
+            return [known[x] for x in new]
+
+        units = RecentUnits(library, RECENT)
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             plain = [i for i, x in enumerate(texts) if x and not any(s in x for s in special)]
@@ -227,7 +256,9 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, id_c
     """
     with open(tokenizer, encoding="utf-8") as f:
         text = f.read()
-    width = 2 if max(json.loads(text)["model"]["vocab"].values(), default=0) < 65535 and end_id < 65536 else 4
+    known = json.loads(text)
+    largest = max([end_id, *known["model"]["vocab"].values(), *[t["id"] for t in known.get("added_tokens", [])]])
+    width = 2 if largest < 65536 else 4
     shared = attach(docs).sparkContext.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

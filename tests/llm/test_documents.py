@@ -136,6 +136,24 @@ def test_bpe_leading_space(spark, library):
     assert [(r.doc_id, np.frombuffer(bytes(r.ids), "<u2").tolist()) for r in got] == [(i, [*ids, 0]) for i, ids in enumerate(want)]
 
 
+def test_units_read_piece_by_piece(library):
+    """Whatever words are made of, and also when units are forgotten and met again."""
+    with open(queries.BYTE_BPE, encoding="utf-8") as f:
+        encode = token_files._encoder("small generations", f.read())
+    rng = np.random.default_rng(2)
+    characters = list("abcXYZ019.,!?'_-~{}[]()@#/\\\n\n\t\r\x1c\x7f") + ["\u00e9", "\u65e5", "\u00a0", " ", " ", " "]
+    texts = ["".join(rng.choice(characters, rng.integers(0, 40))) for _ in range(3000)]
+    texts += [" a1b2 ~~x_y{z}[q] don't it's \n\nfoo\nBar.\nbaz! \n x", " 12,345.67\n8%", " tail ", "\n", " \n", "x\r\ny", " a\n b", "a <|endoftext|> b\nc"]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert [x.tolist() for x in encode(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+    units = token_files.RecentUnits(lambda new: [x.encode() for x in new], 5)
+    for _ in range(3):
+        for k in range(40):
+            words = [f"w{k}", "often", f"w{k % 7}", f"w{39 - k}"]
+            assert units([" ".join(["x", *words])]) == [("x" + "".join(" " + w for w in words)).encode()]
+
+
 def test_transducer_is_stable(library):
     """Chunks of any size give the library's ids, also within one very long pretoken."""
     with open(queries.BYTE_BPE, encoding="utf-8") as f:
