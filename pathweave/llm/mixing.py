@@ -34,7 +34,8 @@ def exponent(sources: DataFrame, entropy: float, repeats: float, budget: float |
     """The largest exponent in [0, 1] whose weights have ``entropy`` times the largest possible entropy, or if larger the
     smallest one that repeats no source more than ``repeats`` times.  ``sources``: tokens (> 0) of each.
 
-    Without a budget the most common source is passed over once, and repeats count against that.
+    Without a budget the most common source is passed over once, and repeats count against that.  A budget of more than ``repeats`` times
+    all tokens cannot keep the limit: then the exponent is 1, by which all sources repeat alike, as little as possible.
     """
     total, count, most = sources.agg(F.sum("tokens"), F.count("*"), F.max("tokens")).first()
     if not count or count == 1:

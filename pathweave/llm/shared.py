@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathweave.sources.sinks import checkpoint_folder
+
 MAX_FILTER_BITS = 1 << 27  # 16 MB: the most that an id filter broadcasts
 
 
@@ -38,12 +40,8 @@ def attach(df: DataFrame) -> SparkSession:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate data: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if have is None:
-        have = tempfile.mkdtemp(prefix="pathweave-")
-        spark.sparkContext.setCheckpointDir(have)
-    return have.rstrip("/")
+    """The shared folder for intermediate data: spark.checkpoint.dir; where that is unset one of our own in local mode, else an error."""
+    return checkpoint_folder(spark)
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
