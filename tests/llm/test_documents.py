@@ -82,14 +82,41 @@ def test_substring_awkward(spark):
     assert substring.remove_repeats(brute.none(spark)).count() == 0
 
 
-def test_automaton_shards(spark, monkeypatch):
-    """A reference cut into overlapping shards gives the same removals."""
-    monkeypatch.setattr(substring, "SHARD", 70)
+def test_automaton_shards(spark):
+    """Texts cut into overlapping shards give the same removals, also where a passage repeats in the shards of its owner."""
     words = [f"w{i}" for i in range(300)]
-    rows = [(1, " ".join(words)), (2, " ".join(["x"] + words[40:180] + ["y"] + words[200:249])), (3, " ".join(words[10:60]))]
-    got = [s for a in [substring.Automaton(words[i : i + 70]) for i in range(0, 251, 21)] for s in a.spans(rows[1][1].split(), 50)]
-    covered = {k for a, b in got for k in range(a, b)}
-    assert covered == set(range(1, 141))
+    text = " ".join(words)
+    assert [(k, x.split()[0], len(x.split())) for k, x in substring.shards_of(text, 50, 70)] == [(k, f"w{21 * k}", min(70, 300 - 21 * k)) for k in range(12)]
+    passage = [f"p{i}" for i in range(55)]
+    rows = [
+        (1, text), (2, " ".join(["x"] + words[40:180] + ["y"] + words[200:249])), (3, " ".join(words[10:60])),
+        (5, " ".join([*passage, *(f"a{i}" for i in range(90)), *passage])), (4, " ".join(["b"] * 30 + passage)), (6, " ".join(passage[3:] + ["c"] * 60)),
+        (7, text), (8, "short one"), (8, text + " more"), (9, "short one"), (9, " ".join(words[5:90])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (50, 70, 1000):
+        for parts in (1, 5):
+            got = substring.remove_repeats(df.repartition(parts), shard_words=size).select("doc_id", "n_words", "n_removed", "kept")
+            assert Counter(map(tuple, got.collect())) == Counter(brute.kept(rows))
+
+
+def test_substring_hot_passage(spark, monkeypatch):
+    """Of a passage in a third of all documents a task sends its smallest owner on, not each of its places."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(20)] + (passage if i % 3 == 0 else []) + [f"v{i}x{k}" for k in range(40)])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    places = []
+    original = substring.IdFilter
+
+    def seen(ids, column):
+        if "places" in ids.columns:
+            places.append(ids.agg({"places": "max"}).first()[0])
+        return original(ids, column)
+
+    monkeypatch.setattr(substring, "IdFilter", seen)
+    got = substring.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert 1 < places[0] <= 4
+    assert Counter(map(tuple, got)) == Counter(brute.kept(rows))
 
 
 def test_bpe_and_token_files(spark, docs, library):
