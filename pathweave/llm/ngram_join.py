@@ -16,7 +16,9 @@ Texts with the same set of shingles are one *set* from the start, represented by
 Lists of rare shingles are short and pair their members inside one task.  Lists of frequent shingles
 are never gathered: each member is paired with the list's first member; what is then connected needs
 no further pair; pairs between members of a list that are still in different components follow from a join of the
-rest.  Every pair is checked on the two whole sets.
+rest, on the list and the size: the smaller set goes to the sizes that it can still be similar to with what it has left of the order.
+Sets of a template with words of their own, too many for a link, thus meet nobody.  Every pair is checked on the two
+whole sets.
 
 The work moves as packed arrays: a task sorts the hashes of many texts at once and sends one row
 per range of hashes.
@@ -337,6 +339,11 @@ def verified(pairs: DataFrame, docs: DataFrame, n_words: int, num: int, den: int
     return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(check), "a long, b long")
 
 
+def size_band(n):
+    """A number that grows with the size: sizes below 64 have their own, others share one with those within a 64th."""
+    return F.when(n < 64, n).otherwise(64 + F.floor(64 * F.log(n / F.lit(64.0)))).cast("int")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles and component_id, the smallest id that links reach.
 
@@ -388,10 +395,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = listed.join(roots, listed["a"] == roots["node"], "left").select("h", "a", "n", "b", F.coalesce("root", "a").alias("root"))
     open_lists = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     rest = rest.join(open_lists, "h", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
+    size, left = F.col("n"), F.col("b")
+    largest = F.least(F.floor(F.lit(den) * size / F.lit(num)), F.floor(F.lit(num + den) * left / F.lit(num)) - size)
+    smaller = rest.where(largest >= size).withColumn("band", F.explode(F.sequence(size_band(size), size_band(largest))))
+    x, y = smaller.alias("x"), rest.withColumn("band", size_band(size)).alias("y")
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.a") < F.col("y.a")))
     across = (
-        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & may_link("x.", "y."))
-        .select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & order & (F.col("x.root") != F.col("y.root")) & may_link("x.", "y."))
+        .select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )

@@ -59,6 +59,23 @@ def test_jaccard_frequent_shingles(spark):
     assert got == brute.groups(rows)
 
 
+def test_jaccard_template_with_own_words(spark):
+    """Many documents of one list that no link can join, among some that are linked across sizes."""
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join(common[:19] + [f"o{i}x{k}" for k in range(5)])) for i in range(400)]
+    for i in range(400, 520):
+        rows.append((i, " ".join(common[: rng.integers(60, 120)] + [f"o{i}x{k}" for k in range(rng.integers(0, 25))])))
+    got = Counter(map(tuple, ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute.groups(rows)
+
+
+def test_size_bands(spark):
+    got = [r.band for r in spark.range(1, 200_000).select(ngram_join.size_band(queries.F.col("id")).alias("band")).collect()]
+    assert got == sorted(got) and got[:70] == [*range(1, 65), *got[64:70]]
+    assert max(got[4 * n // 3 - 1] - got[n - 1] for n in range(100, 140_000, 997)) <= 20
+
+
 def test_subsets_decide_alone():
     for n in range(1, 9):
         for m in ngram_join.partner_sizes(n, 3, 4):
