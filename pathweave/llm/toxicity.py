@@ -12,6 +12,7 @@ in all, is what the executors get.  Scoring is numpy over whole batches of texts
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ TOXIC, CLEAN = 1500, 3000  # labelled texts of each kind that are fitted at most
 LONGEST = 20_000  # characters of a text that is fitted at most; scoring reads texts of any length whole
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint64)
 _NAMES = np.random.default_rng(11).integers(1, 2**63, ROWS, dtype=np.uint64)
+_BREAK_RANGES = "\x00-\x20.,;:!?()\\[\\]{}\"|<>\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # as _BREAKS
+BREAK, WORD = re.compile(f"[{_BREAK_RANGES}]"), re.compile(f"[^{_BREAK_RANGES}]+")
 _BREAKS = np.zeros(0x110000, bool)
 _BREAKS[[*range(33), *map(ord, ".,;:!?()[]{}\"|<>")]] = True
 _BREAKS[[0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -129,6 +132,25 @@ def window_sums(scores: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def stretches_of(text: str, size: int) -> Iterator[tuple[str, int, bool]]:
+    """A lower-cased text in pieces of about ``size`` characters, cut at breaks: the piece, how many of its first words only
+    tell which later ones are repetitions, and whether it is the last.  Every window lies in one piece, with the words before it that count.
+    """
+    at = end = 0
+    while end < len(text):
+        gap = BREAK.search(text, end + size) if end + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end], WINDOW - 1 if at else 0, end == len(text)
+        back = 4096
+        while True:  # the start of the word that is 2 * WINDOW - 2 words before the end
+            lo = max(0, end - back)
+            found = [m.start() for m in WORD.finditer(text, lo, end)]
+            if len(found) > 2 * WINDOW - 2 or lo == 0:
+                at = found[2 - 2 * WINDOW] if len(found) > 2 * WINDOW - 2 else 0
+                break
+            back *= 4
+
+
 @dataclass
 class Model:
     table: np.ndarray  # the embedding rows' products with the softmax weights
@@ -136,11 +158,23 @@ class Model:
     slope: float  # calibration of the top window's logit
     shift: float
 
-    def logits(self, texts: list[str]) -> np.ndarray:
+    def logits(self, texts: list[str], piece: int = PIECE) -> np.ndarray:
+        if any(len(x) > 2 * piece for x in texts):
+            return np.array([self._long(x, piece) if len(x) > 2 * piece else self.logits([x], piece)[0] for x in texts])
         w = words_of(texts)
         sums = window_sums(word_scores(w, self.table), w.offsets)
         return np.array([x.max() for x in sums]) / WINDOW + self.bias
 
+    def _long(self, text: str, piece: int) -> float:
+        """As ``logits`` of one text, which is read a piece at a time."""
+        top = -np.inf
+        for part, known, last in stretches_of(text.lower(), piece):
+            w = words_of([part])
+            own = word_scores(w, self.table)[known:]
+            if len(own) >= WINDOW or (last and not known):  # a piece of fewer words holds no window
+                top = max(top, float(window_sums(own, np.array([0, len(own)]))[0].max()))
+        return top / WINDOW + self.bias
+
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -30, 30)))
 
@@ -266,7 +300,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``docs`` with score (0 to 1, higher: likelier toxic) and predicted (1 from ``threshold`` on).
 
     Columns of these names are replaced.  Null texts and texts without words get the score of no evidence.  Whole texts
-    are read, in pieces of about a quarter of a million characters; an empty table gives an empty result.
+    are read, in pieces of about a quarter of a million characters (a longer text in pieces that overlap by the words that its
+    windows need); an empty table gives an empty result.
     """
     made = ("score", "predicted")
     shared = attach(docs).sparkContext.broadcast(model)

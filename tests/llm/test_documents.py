@@ -282,6 +282,19 @@ def test_toxicity_texts_do_not_touch():
     assert toxicity.joined_words([x, x]).fresh.tolist() == [True, True, True, False] * 2
 
 
+def test_toxicity_long_texts_in_pieces():
+    """A text scores the same in one piece and in many, also with words longer than a piece and repeated words at the cuts."""
+    model = toxicity.train(["you idiot person here", "what an idiot that is", "a fine day out", "the nice long road"] * 5, np.array([1, 1, 0, 0] * 5))
+    rng = np.random.default_rng(3)
+    pool = ["idiot", "you", "fine", "day", "long", "road", "person", "x" * 90, "\u0130diot", "\u00c9t\u00e9", "..", "what,is"]
+    gaps = [" ", "\n", ".  ", "\u3000"]
+    texts = ["".join(str(w) + str(g) for w, g in zip(rng.choice(pool, n), rng.choice(gaps, n), strict=True)) for n in (1, 30, 33, 64, 65, 100, 700, 2000)]
+    texts += ["y" * 5000, "idiot " * 500, " " * 3000, "a fine day " * 300 + "you idiot person " + "nice road " * 300]
+    whole = np.concatenate([model.logits([x], 1 << 30) for x in texts])
+    for piece in (40, 150, 1000):
+        np.testing.assert_allclose(model.logits(texts, piece), whole, atol=1e-9)
+
+
 def test_licenses_match_the_plain_model(spark, docs):
     model = licenses.train(["the road to the town", "rights and wrongs of it", "he was reading"] * 20)
     df = spark.createDataFrame([*docs[:40], (900, None), (901, ""), (902, "x\nReleased under the MIT License.\nAll rights reserved."), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
