@@ -1,6 +1,7 @@
 """Licence notices: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph is a line.  Its features are the words and word pairs it has of a small vocabulary; a softmax regression with a
+A paragraph is a line; where a line is classified but not confirmed, it is the lines around it, up to the next blank ones,
+so a notice that is wrapped over lines is found whole.  Its features are the words and word pairs it has of a small vocabulary; a softmax regression with a
 sparsity penalty tells licence families and an *unknown* class apart.  It is trained on the driver, on worded templates
 of each family (whole, shortened, amid other words) against a bounded sample of the corpus's own paragraphs and
 scrambled template words.  A temperature fitted on the held-out half calibrates the probabilities, and a family must be
@@ -81,6 +82,7 @@ UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
 SAMPLE_DOCS = 400  # documents whose paragraphs stand for unknown ones in training, at most
 SAMPLE_PARAGRAPHS = 4000  # of them at most
+REACH = 3  # lines before and after one that may belong to its notice
 CONFIRMED = 0.6  # of a template's word triples that a paragraph must have
 PUNCTUATION = ".,;:!?()[]{}<>\"'/|*#`_=+~"
 _STRIP = str.maketrans(PUNCTUATION, " " * len(PUNCTUATION))
@@ -229,6 +231,16 @@ def _share(family: Column, w: Column) -> Column:
     return out.otherwise(0.0)
 
 
+def around(lines: Column, i: Column) -> Column:
+    """Line ``i`` (from 0) with up to REACH lines before and after it, none beyond a blank one, breaks turned to spaces."""
+    blank = "[ \t\x0b\f\r]*"
+    first = F.greatest(i - REACH, F.lit(0))
+    before = F.concat(F.array_join(F.slice(lines, first + 1, i - first), "\n"), F.when(i > 0, F.lit("\n")).otherwise(F.lit("")))
+    after = F.concat(F.lit("\n"), F.array_join(F.slice(lines, i + 2, REACH), "\n"))
+    before, after = F.regexp_replace(before, f"(?s)^(.*\n)?{blank}\n", ""), F.regexp_replace(after, f"(?s)\n{blank}(\n.*)?$", "")
+    return F.translate(F.concat(before, F.element_at(lines, i + 1), after), "\n", " ")
+
+
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_paragraphs (lines with a word), found (paragraph number from 0, family, probability, template_share), families
     (of confirmed paragraphs, sorted) and unconfirmed (number of the others found) of each row of ``docs``.
@@ -237,10 +249,18 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     number = lambda x, i: F.struct(i.alias("paragraph"), classify(x, model).alias("is"))
-    found = F.transform(
-        F.filter(F.transform(lines, number), lambda x: x["is"].isNotNull()),
-        lambda x: F.struct(x["paragraph"].alias("paragraph"), x["is"]["family"].alias("family"), x["is"]["probability"].alias("probability"), x["is"]["template_share"].alias("template_share")),
-    )
+    alone = F.filter(F.transform(lines, number), lambda x: x["is"].isNotNull())
+
+    def entry(paragraph: Column, c: Column) -> Column:
+        return F.struct(paragraph.alias("paragraph"), *(c[f].alias(f) for f in ("family", "probability", "template_share")))
+
+    def confirmed(x: Column) -> Column:
+        """As classified alone, or with the lines around if these confirm a family."""
+        line = entry(x["paragraph"], x["is"])
+        wider = _bound(classify(around(lines, x["paragraph"]), model), lambda c: F.when(c["template_share"] >= CONFIRMED, entry(x["paragraph"], c)).otherwise(line))
+        return F.when(x["is"]["template_share"] >= CONFIRMED, line).otherwise(wider)
+
+    found = F.transform(alone, confirmed)
     n = F.size(F.filter(lines, lambda x: F.length(F.trim(F.translate(x, "\t\x0b\f\r", "    "))) > 0)).cast("long")
     rows = docs.select(id_col, n.alias("n_paragraphs"), found.alias("found"))
     good = F.filter("found", lambda x: x["template_share"] >= CONFIRMED)

@@ -1,6 +1,7 @@
 """The operators on documents against brute force and the tokenizers library, on a test table and on awkward rows."""
 
 import hashlib
+import textwrap
 import zlib
 from collections import Counter
 
@@ -295,17 +296,42 @@ def test_toxicity_long_texts_in_pieces():
         np.testing.assert_allclose(model.logits(texts, piece), whole, atol=1e-9)
 
 
+def test_licenses_wrapped_over_lines(spark):
+    model = licenses.train(["the road to the town", "rights and wrongs of it", "he was reading"] * 20)
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    for mark in ("", "# ", " * "):
+        rows = [(i, f"some words before\nof the town\n{mark}\n{wrap(t, mark)}\n\nthe road to it\nhe was reading", f) for i, (f, t) in enumerate((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts)]
+        out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, family string"), model)
+        got = {r.doc_id: r.families for r in out.collect()}
+        assert [i for i, _, f in rows if f not in got[i]] == []
+    parted = licenses.TEMPLATES["BSD"][2].replace("binary forms,", "binary forms,\n\n \n")  # blank lines part paragraphs
+    assert licenses.scan(spark.createDataFrame([(1, parted)], "doc_id long, text string"), model).first().families == []
+
+
 def test_licenses_match_the_plain_model(spark, docs):
     model = licenses.train(["the road to the town", "rights and wrongs of it", "he was reading"] * 20)
-    df = spark.createDataFrame([*docs[:40], (900, None), (901, ""), (902, "x\nReleased under the MIT License.\nAll rights reserved."), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
+    df = spark.createDataFrame([*docs[:40], (900, None), (901, ""), (902, "x\nReleased under the MIT License.\nAll rights reserved."),
+        (903, "a\n\n \nThis work is licensed\nunder the GNU General\nPublic License, version 3.\n"), (904, "\nreleased under\nthe\nMIT License\n\t\nlicense"), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
+
+    def is_(paragraph):
+        w = licenses.words(paragraph)
+        p = model.probabilities(w)
+        family = licenses.FAMILIES[int(p.argmax())]
+        if w and family != licenses.UNKNOWN:
+            return family, round(p.max(), 6), round(licenses.template_share(w, family), 6)
+
     for r in licenses.scan(df, model).join(df, "doc_id").collect():
         want = []
-        for k, line in enumerate((r.text or "").split("\n")):
-            w = licenses.words(line)
-            p = model.probabilities(w)
-            family = licenses.FAMILIES[int(p.argmax())]
-            if family != licenses.UNKNOWN and w:
-                want.append((k, family, round(p.max(), 6), round(licenses.template_share(w, family), 6)))
+        lines = (r.text or "").split("\n")
+        for k, line in enumerate(lines):
+            if is_(line):
+                lo = hi = k
+                while lo > max(k - 3, 0) and lines[lo - 1].strip(" \t\x0b\f\r"):
+                    lo -= 1
+                while hi < min(k + 3, len(lines) - 1) and lines[hi + 1].strip(" \t\x0b\f\r"):
+                    hi += 1
+                block = is_(" ".join(lines[lo : hi + 1]))
+                want.append((k, *(block if is_(line)[2] < 0.6 and block and block[2] >= 0.6 else is_(line))))
         assert [(x.paragraph, x.family, round(x.probability, 6), round(x.template_share, 6)) for x in r.found] == want
         if r.doc_id == 902:
             assert r.families == ["All-rights-reserved", "MIT"] and r.n_paragraphs == 3
