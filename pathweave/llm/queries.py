@@ -90,7 +90,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = new_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), to, BYTE_BPE)
-    return token_files.read_tokens(spark, to).drop("ids")
+    return token_files.read_tokens(spark, to, with_ids=False)
 
 
 @query

@@ -289,11 +289,12 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, id_c
     ordered.mapInArrow(run, _SCHEMA).write.mode("errorifexists").option("compression", "zstd").parquet(to)
 
 
-def read_tokens(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFrame:
-    """From the files: id, start (ids of all documents before), n_tokens (with the end id), ids_crc32 and
+def read_tokens(spark: SparkSession, at: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """From the files: id, start (ids of all documents before), n_tokens (with the end id), ids_crc32 and (``with_ids``)
     ids (little-endian, as wide as in the files) of each document."""
     blocks = spark.read.schema(_SCHEMA).parquet(at)
     attach(blocks)
+    names = ["shard", "block", id_col, "within", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +304,6 @@ def read_tokens(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFra
                 starts = np.concatenate([[0], ends[:-1]])
                 wide = block.ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts, ends, strict=True)]
-                ids = [block.ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
                 n, known = len(block), block.doc_ids.all() + block.base
                 columns = [
                     pa.array([shard.as_py()] * n, pa.int32()),
@@ -312,12 +312,13 @@ def read_tokens(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFra
                     pa.array(starts, pa.int64()),
                     pa.array(ends - starts, pa.int64()),
                     pa.array(crc, pa.int64()),
-                    pa.array(ids, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", id_col, "within", "n_tokens", "ids_crc32", "ids"])
+                if with_ids:
+                    columns.append(pa.array([block.ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     found = blocks.select("shard", "block", "payload").mapInArrow(
-        run, f"shard int, block int, `{id_col}` long, within long, n_tokens long, ids_crc32 long, ids binary"
+        run, f"shard int, block int, `{id_col}` long, within long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
     )
     # starts of shards (one row each), then of the blocks within each shard
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"))
@@ -325,4 +326,4 @@ def read_tokens(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFra
     shards = shards.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("shard_start"))
     inside = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.select("shard", "block", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("block_start")).join(shards, "shard")
-    return found.join(starts, ["shard", "block"]).select(id_col, (F.col("shard_start") + F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return found.join(starts, ["shard", "block"]).select(id_col, (F.col("shard_start") + F.col("block_start") + F.col("within")).alias("start"), *names[4:])
