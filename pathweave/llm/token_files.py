@@ -19,26 +19,31 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathweave.llm.bpe import UnitEncoder
+from pathweave.llm.bpe import _CLEAN, UnitEncoder, byte_characters
 from pathweave.llm.shared import attach
 
 BLOCK = 1 << 18  # ids after which a block ends
 SAMPLE = 64
-RECENT = 1 << 18  # units of a generation that a worker remembers
-# printable ASCII words after a space, with single line ends between them and no apostrophe: the splitting pattern cuts them where the
-# kind of characters changes, and a space goes with what follows it
-PLAIN = re.compile(r" [!-&(-~]+(?:\n[!-&(-~]+)*").fullmatch
-PIECES = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n").findall
+RECENT = 1 << 19  # pieces of a generation that a worker remembers, and half as many units that are not cut into pieces
+SLICE, SLICE_BYTES = 1024, 1 << 22  # rows and bytes of text that are encoded side by side
+# units of printable ASCII and Latin letters, with single line ends between them and no apostrophe: the splitting pattern cuts them
+# where the kind of characters changes, and the space before a unit goes with what follows it (for Arrow)
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = rf"\A[!-&(-~{_LATIN}]+(?:\n[!-&(-~{_LATIN}]+)*\z"
+_PIECE = rf" ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|\n"
+# two white-space characters in a row, as Python knows them, for Arrow
+_SPACES = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
 JOINED = 256  # new units that the library reads as one text
 MAGIC = b"EFTOK001"
 _SCHEMA = "shard int, block int, first_id long, n_docs long, n_tokens long, payload binary"
@@ -168,15 +173,48 @@ class RecentUnits(UnitEncoder):
         new = [x for x in new if x not in older]
         known.update(zip(new, self.encode_all([lead + x for x in new]), strict=True))
 
+    def ids_of(self, units: list[str], lead: str) -> list[bytes]:
+        self._learn(self.rest, lead, set(units))
+        return list(map(self.rest.__getitem__, units))
 
-_encoders: dict[str, UnitEncoder] = {}
+
+def _strings(of: pa.Array) -> list[str]:
+    return of.to_numpy(zero_copy_only=False).tolist()
+
+
+def _flags(of: pa.Array) -> np.ndarray:
+    return of.to_numpy(zero_copy_only=False)
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of parts of ``ids`` that follow each other, those of ``which``, one after the other."""
+    starts, out = np.cumsum(sizes) - sizes, [ids[:0]]
+    for lo in range(0, len(which), 1 << 20):
+        part = which[lo : lo + (1 << 20)]
+        n = sizes[part]
+        at = np.repeat(starts[part] - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        out.append(ids[at])
+    return np.concatenate(out)
+
+
+def _parts(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+_encoders: dict[str, Callable[[pa.Array | list[str | None]], list[np.ndarray]]] = {}
 
 
 def _encoder(path: str, text: str):
-    """Encode texts with the tokenizers library, unit by unit, so that a unit met again is not encoded again."""
+    """Encode texts with the tokenizers library, unit by unit, so that a unit met again is not encoded again.
+
+    Arrow cuts a slice's texts into distinct units and these into distinct pieces; only pieces that the worker does not remember are
+    read by the model.  Ids of pieces are put together to units, and those to texts, by place.
+    """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         tokenizer = Tokenizer.from_str(text)
         tokenizer.no_truncation()
@@ -187,6 +225,10 @@ def _encoder(path: str, text: str):
         plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         by_model = kind["normalizer"] is None and kind["pre_tokenizer"] == plain and kind["post_processor"] in (None, plain)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # the same model over pieces that are already cut and spelled in the vocabulary's characters
+        spelled = Tokenizer(model)
+        spelled.pre_tokenizer = WhitespaceSplit()
+        spelling = {b: c for c, b in byte_characters().items()} | {ord(" "): " \u0120"}  # the space goes with the piece after it
 
         vocabulary = tokenizer.get_vocab()
         begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -195,59 +237,102 @@ def _encoder(path: str, text: str):
         def each(units: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-        def running_text(units: list[str]) -> list[bytes]:
-            """Units with one space, at the front, are encoded as running text: their first ids are those that begin with a space."""
-            groups = ["".join(units[k : k + JOINED]) for k in range(0, len(units), JOINED)]
-            found = [e.ids for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
+        def cut(ids: np.ndarray, n: int) -> list[bytes] | None:
+            """The ids of n units with one space, at the front: their first ids are those that begin with a space."""
             at = np.flatnonzero(begins[ids])
-            if len(at) != len(units):  # a vocabulary that does not split before every space
-                return each(units)
-            data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            return [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(at) != n:  # a vocabulary that does not split before every space
+                return None
+            data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            return [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+        def joined(read: Tokenizer, groups: list[str]) -> np.ndarray:
+            found = [e.ids for e in read.encode_batch_fast(groups, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
+
+        def running_text(units: list[str]) -> list[bytes]:
+            found = cut(joined(tokenizer, ["".join(units[k : k + JOINED]) for k in range(0, len(units), JOINED)]), len(units))
+            return each(units) if found is None else found
+
+        def spell(x: str) -> str:
+            return x.replace(" ", " \u0120") if x.isascii() else x.encode().decode("latin-1").translate(spelling)
 
         def piece(x: str) -> bytes:
             """Ids of a piece that the pattern does not split: the model reads it without a text around it."""
-            return array("I", [t.id for t in model.tokenize(x.replace(" ", "\u0120").replace("\n", "\u010a"))]).tobytes()
-
-        pieces: dict[str, bytes] = {}
-
-        def library(new: list[str]) -> list[bytes]:
-            """Ids of new units: plain ones piece by piece, others with one space, at the front, as running text, the rest each for itself."""
-            known: dict[str, bytes] = {}
-            if by_model:
-                if len(pieces) > RECENT:
-                    pieces.clear()
-                for x in new:
-                    if PLAIN(x) is None:
-                        continue
-                    parts = PIECES(x)
-                    if len(parts) == 1:
-                        known[x] = piece(x)
-                        continue
-                    for y in parts:
-                        if y not in pieces:
-                            pieces[y] = piece(y)
-                    known[x] = b"".join([pieces[y] for y in parts])
-            running = [x for x in new if x not in known and x[:1] == " " and len(x) > 1 and not x[-1].isspace() and x.find(" ", 1) < 0]
-            known.update(zip(running, running_text(running), strict=True))
+            return array("I", [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(spelling).strip(" "))]).tobytes()
+
+        def read_pieces(new: list[str]) -> list[bytes]:
+            spaced = sorted([x for x in new if len(x) > 1 and x[0] == " "], key=str.isascii)
+            found = cut(joined(spelled, [spell("".join(spaced[k : k + JOINED])) for k in range(0, len(spaced), JOINED)]), len(spaced))
+            known = {} if found is None else dict(zip(spaced, found, strict=True))
+            return [known[x] if x in known else piece(x) for x in new]
+
+        def read_units(new: list[str]) -> list[bytes]:
+            """Units with one space, at the front, as running text, the rest each for itself."""
+            running = [x for x in new if x[:1] == " " and len(x) > 1 and not x[-1].isspace() and x.find(" ", 1) < 0]
+            known = dict(zip(running, running_text(running), strict=True))
             rest = [x for x in new if x not in known]
             known.update(zip(rest, each(rest), strict=True))
             return [known[x] for x in new]
 
-        units = RecentUnits(library, RECENT)
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            plain = [i for i, x in enumerate(texts) if x and not any(s in x for s in special)]
-            done = dict(zip(plain, units([texts[i] for i in plain]), strict=True))
-            rest = [i for i, x in enumerate(texts) if x and i not in done]
-            done |= dict(zip(rest, each([texts[i] for i in rest]), strict=True))
-            return [np.frombuffer(done.get(i, b""), "<u4") for i in range(len(texts))]
+        pieces, units = RecentUnits(read_pieces, RECENT), RecentUnits(read_units, RECENT // 2)
+
+        def by_pieces(plain: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of plain units after a space, one after the other, and how many each has."""
+            cuts = pc.split_pattern(pc.replace_substring_regex(pc.binary_join_element_wise(" ", plain, ""), _PIECE, "\t\\0"), "\t")
+            coded = cuts.flatten().dictionary_encode()
+            ids, sizes = _parts(pieces.ids_of(_strings(coded.dictionary), ""))
+            which = coded.indices.to_numpy()
+            ends = np.cumsum(sizes[which])[cuts.offsets.to_numpy()[1:] - 1]
+            return _gather(ids, sizes, which), np.diff(ends, prepend=0)
+
+        def encode(texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+            texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+            whole = np.zeros(len(texts), bool)  # texts with special tokens
+            for x in special:
+                whole |= _flags(pc.match_substring(texts, x))
+            spaces = _flags(pc.match_substring_regex(texts, _SPACES)) & ~whole
+            clean, spaces, whole = (np.flatnonzero(x) for x in (~(whole | spaces), spaces, whole))
+            # the units of all texts, one after the other
+            split = pc.split_pattern(texts if len(clean) == len(texts) else texts.take(pa.array(clean)), " ")
+            others = [_CLEAN.split(x) for x in _strings(texts.take(pa.array(spaces)))]
+            n_units = np.concatenate([pc.list_value_length(split).to_numpy(), np.array([len(x) for x in others], np.int64)]).astype(np.int64)
+            coded = pa.concat_arrays([split.flatten(), pa.array(list(chain.from_iterable(others)), pa.string())]).dictionary_encode()
+            words, which, last = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.cumsum(n_units)
+            # a text's first unit has no space before it
+            first = last - n_units
+            begin = _strings(words.take(pa.array(which[first])))
+            which[first] = len(words) + np.arange(len(first))
+            after = np.bincount(which, minlength=len(words))[: len(words)] > 0
+            plain = _flags(pc.match_substring_regex(words, _PLAIN)) & after & by_model
+            rest = after & ~plain
+            found = by_pieces(words.filter(pa.array(plain))), _parts(units.ids_of(_strings(words.filter(pa.array(rest))), " ")), _parts(each(begin))
+            ids, sizes = zip(*found, strict=True)
+            place = np.empty(len(words) + len(first), np.int64)
+            place[np.concatenate([np.flatnonzero(plain), np.flatnonzero(rest), len(words) + np.arange(len(first))])] = np.arange(sum(map(len, sizes)))
+            sizes, which = np.concatenate(sizes), place[which]
+            ids, ends = _gather(np.concatenate(ids), sizes, which), np.cumsum(sizes[which])[last - 1].tolist()
+            done: list[np.ndarray] = [ids[:0]] * len(texts)
+            for i, x, y in zip(chain(clean.tolist(), spaces.tolist()), [0, *ends][:-1], ends, strict=True):
+                done[i] = ids[x:y]
+            for i, x in zip(whole.tolist(), each(_strings(texts.take(pa.array(whole)))), strict=True):
+                done[i] = np.frombuffer(x, "<u4")
+            return done
 
         _encoders[path] = encode
     return _encoders[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, at most SLICE and, but for a single row, about SLICE_BYTES of text at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        most = (size[lo - 1] if lo else 0) + SLICE_BYTES
+        hi = max(lo + 1, min(lo + SLICE, int(np.searchsorted(size, most, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write every whole text's ids, each followed by ``end_id``, to the folder ``to`` in ascending order of ids.
 
@@ -272,9 +357,8 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, id_c
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["shard", "block", "first_id", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for i, x in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            for part in _slices(batch):
+                for i, x in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     doc_ids.append(i)
                     ids.append(np.concatenate([x, end]))
                     size += len(x) + 1

@@ -1,12 +1,15 @@
 """The operators on documents against brute force and the tokenizers library, on a test table and on awkward rows."""
 
 import hashlib
+import json
 import textwrap
 import zlib
 from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from pathweave.llm import bpe, licenses, mixing, ngram_join, quality, queries, substring, token_files, toxicity
@@ -199,6 +202,57 @@ def test_units_read_piece_by_piece(library):
             assert units([" ".join(["x", *words])]) == [("x" + "".join(" " + w for w in words)).encode()]
 
 
+def test_pieces_are_read_once(library, monkeypatch):
+    """A word is read by the model once, whatever its letters and whatever follows it."""
+    asked = []
+
+    class Counted(token_files.RecentUnits):
+        def __init__(self, encode_all, size):
+            super().__init__(lambda new: asked.extend(new) or encode_all(new), size)
+
+    monkeypatch.setattr(token_files, "RecentUnits", Counted)
+    with open(queries.BYTE_BPE, encoding="utf-8") as f:
+        encode = token_files._encoder("counted", f.read())
+    words, ends = ["the", "\u00e9t\u00e9", "Stra\u00dfe", "ci\u00f3n"], ["", ".", ",", "***", "!!", "&&&", ".%%%", ",###"]
+    texts = [" ".join(["x", *[w + e for w in words]]) for e in ends] + ["x " + ".\n".join(words)] * 2
+    for part in (texts[:3], texts[3:], texts):
+        assert [x.tolist() for x in encode(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+    asked = [x for x in asked if x]
+    # words after a space, words after a line's end, what follows words and the line's end
+    assert len(asked) == len(set(asked)) <= len(words) + len(words) - 1 + len(ends)
+
+
+def test_units_cut_by_arrow(library):
+    """White space, letters at the borders of the plain ones, special tokens, nulls and slices, as the library reads them."""
+    twice = [chr(c) * 2 for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = token_files._flags(pc.match_substring_regex(pa.array(twice), token_files._SPACES))
+    assert [x for x, y in zip(twice, found, strict=True) if y] == [x for x in twice if x.isspace()]
+    with open(queries.BYTE_BPE, encoding="utf-8") as f:
+        data = f.read()
+    encode = token_files._encoder("cut by arrow", data)
+    texts = [f"x a{chr(c)}b1{chr(c)} {chr(c)} {chr(c)}{chr(c)}.\n{chr(c)}9" for c in [*range(0x260), 0x3B1, 0x430, 0x65E5, 0x1F642]]
+    texts += [None, "", " ", "a  b", " <|endoftext|> a", "\tx \t1\ty", "x a\n", "x \na", "x a\n\nb", "x y" * 3000]
+    want = [e.ids for e in library.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in encode(texts)] == want
+    array = pa.array(texts)
+    assert [x.tolist() for lo in range(0, len(texts), 7) for x in encode(array.slice(lo, 7))] == want
+    assert [encode([x])[0].tolist() for x in texts[-10:]] == want[-10:]
+    # a normalizer before the pattern: nothing goes past it
+    lower = json.dumps(json.loads(data) | {"normalizer": {"type": "Lowercase"}})
+    got = token_files._encoder("lower-cased", lower)(texts)
+    assert [x.tolist() for x in got] == [e.ids for e in type(library).from_str(lower).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_slices(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 4)
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 10)
+    sizes = [0, 3, 30, None, 0, 1, 1, 1, 1, 4, 4, 4, 10, 11, 0]
+    batch = pa.record_batch({"id": list(range(len(sizes))), "text": [None if n is None else "x" * n for n in sizes]})
+    parts = [[sizes[i] or 0 for i in x.column(0).to_pylist()] for x in token_files._slices(batch)]
+    assert [n for x in parts for n in x] == [n or 0 for n in sizes]
+    assert all(len(x) <= 4 and (sum(x) <= 10 or len(x) == 1) for x in parts)
+
+
 def test_transducer_is_stable(library):
     """Chunks of any size give the library's ids, also within one very long pretoken."""
     with open(queries.BYTE_BPE, encoding="utf-8") as f:
