@@ -2,12 +2,15 @@
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY, seconds
 from ..functions.keys import usable_key
+from ..sources.sinks import stage
 from . import skew
 from .dedup import keep_first
 
@@ -145,26 +148,70 @@ def link(
     ``keys`` come strongest first; ``join_strategy`` names the strongest key
     that made the match.  All keys go through one join: every row is listed
     once per usable key and (key rank, key value) is what is joined on.
+    A match is left out where it is made if a stronger key of the same two rows
+    makes it too, so matches are not shuffled to be merged.  Only those of ids
+    that several touches or several anchors have are, by ``tie_break``.
     ``bucket_seconds`` cuts time as in :func:`lookback_join`.
     """
-    a = by_key(touches, [(i, k.touch, k.kind) for i, k in enumerate(keys)], "_rank", "_key")
-    b = by_key(anchors, [(i, k.anchor, k.kind) for i, k in enumerate(keys)], "_arank", "_akey")
-    on = [("_rank", "_arank"), ("_key", "_akey")]
-    if bucket_seconds:
-        a, b = _in_buckets(a, b, window, touch, anchor, bucket_seconds)
-        on.append(("_slot", "_aslot"))
-    matches = skew.skew_join(
-        a, b, on, spread_by=touch.ids, spread_right_by=anchor.ids,
-        condition=_in_window(window, touch, anchor), share=share, min_rows=min_rows,
-    )
-    return strongest(matches, keys, touch, anchor, tie_break)
+    def matches(some_touches: DataFrame, some_anchors: DataFrame) -> DataFrame:
+        a = by_key(some_touches, [(i, k.touch, k.kind) for i, k in enumerate(keys)], "_rank", "_key")
+        b = by_key(some_anchors, [(i, k.anchor, k.kind) for i, k in enumerate(keys)], "_arank", "_akey")
+        above = range(len(keys) - 1)
+        a = a.withColumns({f"_above{i}": F.when(F.col("_rank") > i, usable_key(keys[i].touch, keys[i].kind)) for i in above})
+        b = b.withColumns({f"_aabove{i}": F.when(F.col("_arank") > i, usable_key(keys[i].anchor, keys[i].kind)) for i in above})
+        on = [("_rank", "_arank"), ("_key", "_akey")]
+        if bucket_seconds:
+            a, b = _in_buckets(a, b, window, touch, anchor, bucket_seconds)
+            on.append(("_slot", "_aslot"))
+        fits = _in_window(window, touch, anchor)
+
+        def strongest_of_both(l: Callable, r: Callable) -> Column:
+            by_stronger = [F.coalesce(l(f"_above{i}") == r(f"_aabove{i}"), F.lit(False)) for i in above]
+            return fits(l, r) & ~reduce(or_, by_stronger, F.lit(False))
+
+        return skew.skew_join(
+            a, b, on, spread_by=touch.ids, spread_right_by=anchor.ids, condition=strongest_of_both, share=share, min_rows=min_rows
+        )
+
+    touches_twice, anchors_twice = repeated(touches, touch.ids), repeated(anchors, anchor.ids)
+    found = _named(matches(_without(touches, touches_twice), _without(anchors, anchors_twice)), keys)
+    copies = []
+    if anchors_twice is not None:
+        copies.append(matches(_without(touches, touches_twice), _with_ids(anchors, anchors_twice, "left_semi")))
+    if touches_twice is not None:
+        copies.append(matches(_with_ids(touches, touches_twice, "left_semi"), anchors))
+    if not copies:
+        return found
+    return found.unionByName(strongest(reduce(DataFrame.unionByName, copies), keys, touch, anchor, tie_break))
+
+
+def repeated(df: DataFrame, ids: Sequence[str]) -> DataFrame | None:
+    """The ``ids`` that several rows have, staged; None if there are none."""
+    counts = df.groupBy(*ids).agg(F.count(F.lit(1)).alias("_rows"))
+    twice = stage(counts.where(F.col("_rows") > 1).select(*ids))
+    return None if twice.isEmpty() else twice
+
+
+def _with_ids(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """Rows of ``df`` whose ids are (``left_semi``) or are not (``left_anti``) in ``some``; nulls are alike."""
+    named = some.withColumnsRenamed({c: f"_twice_{c}" for c in some.columns})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_twice_{c}")) for c in some.columns])
+    return df.join(named, same, how)
+
+
+def _without(df: DataFrame, some: DataFrame | None) -> DataFrame:
+    return df if some is None else _with_ids(df, some, "left_anti")
 
 
 def strongest(matches: DataFrame, keys: Sequence[Key], touch: Side, anchor: Side, tie_break: Sequence[Column] = ()) -> DataFrame:
     """Of the rows of a (touch, anchor) the one matched by the strongest key, which ``join_strategy`` names."""
-    best = keep_first(matches, [*touch.ids, *anchor.ids], [F.col("_rank"), *tie_break])
+    return _named(keep_first(matches, [*touch.ids, *anchor.ids], [F.col("_rank"), *tie_break]), keys)
+
+
+def _named(matches: DataFrame, keys: Sequence[Key]) -> DataFrame:
     names = F.array(*[F.lit(k.name) for k in keys])
-    return best.withColumn("join_strategy", names[F.col("_rank")]).drop("_rank", "_arank", "_key", "_akey", "_slot", "_aslot")
+    above = [f"{side}{i}" for side in ("_above", "_aabove") for i in range(len(keys) - 1)]
+    return matches.withColumn("join_strategy", names[F.col("_rank")]).drop("_rank", "_arank", "_key", "_akey", "_slot", "_aslot", *above)
 
 
 def merge_matches(

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..sources.sinks import stage
 from . import ordered
 from .path_counts import pairs_of_paths, summaries_of_slices
-from .skew import skew_join
+from .skew import HOT_ROWS, skew_join
 
 OUTCOME = ("transaction_id", "item_id")
 # more touches than this are not gathered for one path
@@ -246,14 +246,19 @@ def exact_device_outcomes(
     device: str = "device_type_level1",
     wanted: str = "Mobile",
     outcome: Sequence[str] = OUTCOME,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All rows of outcomes whose known touch devices are exactly ``wanted``.
 
-    A touch with no device does not count against it.
+    A touch with no device does not count against it.  What is staged of the outcomes is which ones those are, and which
+    ones are hot; without hot ones the plain join lets Spark keep to the wanted outcomes before ``matches`` are made.
     """
-    only = (
-        matches.groupBy(*outcome)
-        .agg(F.min(device).alias("_lo"), F.max(device).alias("_hi"))
-        .where((F.col("_lo") == wanted) & (F.col("_hi") == wanted))
+    rows = matches.groupBy(*outcome).agg(
+        F.count(device).alias("_known"), F.count_if(F.col(device) == wanted).alias("_wanted"), F.count(F.lit(1)).alias("_rows")
     )
-    return skew_join(matches, only, [(c, c) for c in outcome], how="left_semi")
+    rows = rows.withColumn("_only", (F.col("_wanted") > 0) & (F.col("_wanted") == F.col("_known")))
+    found = stage(rows.where(F.col("_only") | (F.col("_rows") > min_rows)).select(*outcome, "_only", "_rows"))
+    only = found.where("_only").select(*outcome)
+    if found.where(F.col("_rows") > min_rows).isEmpty():
+        return matches.join(only, list(outcome), "left_semi").select(*matches.columns)
+    return skew_join(matches, only, [(c, c) for c in outcome], how="left_semi", counted=found, min_rows=min_rows)

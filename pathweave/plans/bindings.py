@@ -161,8 +161,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _once(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` worked out once a row: a filter that Spark moves down otherwise repeats its expression wherever it is used."""
+    return df.select(*[c for c in df.columns if c != column], F.explode(F.array(column)).alias(column))
+
+
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = events(spark, sf_dir).where("event_type <> 'purchase'")
+    base = _once(events(spark, sf_dir).where("event_type <> 'purchase'"), "k")
     return _view(base, TOUCH).withColumn("channel_name", F.expr(_CHANNEL_NAME))
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
     """Parquet in one directory per value of ``by``.
@@ -120,10 +122,16 @@ def stage(df: DataFrame, path: str | None = None, by: Sequence[str] = ()) -> Dat
     folder under the session's checkpoint directory, which goes with the
     session.  Either survives the loss of executors, and later steps read only
     the columns they need.  A stage holds what was staged last, nothing older.
+    Shuffles that only led to it are deleted as soon as it is written.
     """
     spark = df.sparkSession
     if path is None:
         path = scratch(spark, "stage")
     writer = df.hint("rebalance", *by).write.option("partitionOverwriteMode", "static").partitionBy(*by) if by else df.write
-    writer.mode("overwrite").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.option("basePath", path).schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import plans
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,37 @@ def test_merge_of_single_matches(spark):
     assert sorted(merged.collect()) == [(1, 1, "a", "uid"), (2, 1, "b", "did")]
 
 
+def test_matches_of_single_ids_are_not_shuffled(spark):
+    """A match by a weaker key is left out where it is made: nothing is merged after the join."""
+    args = (b.touches(spark, SF), b.outcomes(spark, SF), CHECKOUT_KEYS, lb.CHECKOUT, TOUCH_SIDE, OUTCOME_SIDE)
+    found = lb.link(*args).select("event_id", "transaction_id")
+    assert plans.shuffles_of(found, "event_id") <= 1 and "Window" not in plans.formatted(found)
+
+
+@pytest.mark.parametrize("options", [{}, {"min_rows": 2}, {"bucket_seconds": 86400}])
+@pytest.mark.parametrize("which", ["touches", "anchors", "both"])
+def test_ids_that_several_rows_have(spark, which, options):
+    """Rows that share an id, or have none, are merged over all of them; the others as before."""
+    hour = dt.timedelta(hours=1)
+    t = touches(spark, *[(ANCHOR - (i + 1) * hour, (5, 6, None, 0)[i % 4], (DID, "short")[i % 2], ("c", "e")[i % 3 > 0], "x") for i in range(24)])
+    o = outcome(spark).unionByName(outcome(spark, uid=6, cguid="e")).unionByName(outcome(spark, uid=9, did=None, xid="x"))
+    o = o.withColumn("transaction_id", F.col("buyer_id"))
+    if which != "anchors":  # four touches an id, and six without one
+        t = t.withColumn("event_id", F.when(F.col("event_id") < 6, None).when(F.col("event_id") < 14, F.col("event_id") % 2).otherwise(F.col("event_id")))
+    if which != "touches":
+        o = o.withColumn("transaction_id", F.when(F.col("buyer_id") < 9, None).otherwise(F.col("buyer_id")))
+    names, want = [k.name for k in CHECKOUT_KEYS], {}
+    for a in t.collect():
+        for c in o.collect():
+            for i, (x, y) in enumerate(((a.user_id, c.buyer_id), (a.device_id, c.cko_device_id), (a.cguid, c.bbowa_cguid), (a.incdata_id, c.cko_incdata_id))):
+                if x is not None and x == y and (i != 0 or x > 0) and (i != 1 or len(x) >= 35):
+                    pair = (a.event_id, c.transaction_id, c.item_id)
+                    want[pair] = min(want.get(pair, 9), i)
+    found = lb.link(t, o, CHECKOUT_KEYS, lb.CHECKOUT, TOUCH_SIDE, OUTCOME_SIDE, **options).collect()
+    assert sorted(((r.event_id, r.transaction_id, r.item_id, r.join_strategy) for r in found), key=repr) == sorted(((*k, names[i]) for k, i in want.items()), key=repr)
+    assert len(set(want.values())) == 4
+
+
 def test_copies_of_a_touch_are_settled_by_the_order(spark):
     ts = ANCHOR - dt.timedelta(hours=1)
     t = touches(spark, (ts, 5, None, None, None)).withColumn("flex_column_1", F.explode(F.array(F.lit("b"), F.lit("a"))))

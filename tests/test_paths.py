@@ -4,11 +4,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import plans
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pathweave.operators import encode, ordered, path_counts, paths, sequence
+from pathweave.plans.jobs import valid_matches
 from pathweave.plans.link_queries import merged
 
 T0 = dt.datetime(2024, 1, 1)
@@ -209,6 +211,20 @@ def test_mobile_only(spark):
     assert sorted(r.transaction_id for r in paths.exact_device_outcomes(df).collect()) == [1, 1, 4]
 
 
+@pytest.mark.parametrize("min_rows", [1, 10**6])
+def test_mobile_only_with_hot_outcomes(spark, min_rows):
+    rows = [(1, "Mobile", 0), (1, None, 1), (2, "Mobile", 2), (2, "PC", 3), (2, "Mobile", 4), (3, None, 5), (4, "Mobile", 6), (None, "Mobile", 7)]
+    df = spark.createDataFrame([(o, 1, d, i) for o, d, i in rows], "transaction_id bigint, item_id bigint, device_type_level1 string, event_id bigint")
+    found = paths.exact_device_outcomes(df, min_rows=min_rows)
+    assert found.columns == df.columns and sorted(r.event_id for r in found.collect()) == [0, 1, 6]
+
+
+def test_mobile_only_shuffles_no_matches(spark):
+    """The wanted outcomes are picked before they are linked: no match is shuffled with its device, only touches are."""
+    found = paths.exact_device_outcomes(valid_matches(merged(spark, SF))).select("event_id", *paths.OUTCOME, "device_type_level1")
+    assert plans.shuffles_of(found, "device_type_level1") <= 1 and "Window" not in plans.formatted(found)
+
+
 @pytest.mark.parametrize("long_path", [None, 1, 3, 10**9])
 def test_neighbours_and_steps(spark, long_path):
     df = matches(spark, (1, 1, "a", 0), (1, 2, "b", 2), (1, 3, "c", 2), (1, 4, "d", 9000), (2, 5, "z", 1))

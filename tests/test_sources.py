@@ -1,4 +1,5 @@
 import os
+import time
 
 from plans import formatted
 from pyspark.sql import functions as F
@@ -145,3 +146,19 @@ def test_damaged_days_are_found(spark, tmp_path):
     assert damaged() == ["2024-01-03", "2024-01-05", "2024-01-07"]
     sinks.write_days_tsv(table.where("dt > '2024-01-01'"), out, null="\\N")
     assert damaged() == []
+
+
+def test_a_stage_leaves_no_shuffle_behind(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = disk.getAllBlocks()
+        return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+    there, setting = shuffles(), spark.conf.get(sinks.SHUFFLE_CLEANUP)
+    staged = sinks.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not (left := shuffles() - there):
+            break
+        time.sleep(0.1)
+    assert not left and staged.count() == 7 and spark.conf.get(sinks.SHUFFLE_CLEANUP) == setting
