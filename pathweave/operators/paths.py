@@ -1,6 +1,8 @@
 """Paths: the touches linked to one outcome, in time order."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,13 +45,53 @@ def path_lengths(touches: DataFrame, outcome: Sequence[str] = OUTCOME, event: st
 
 
 def with_lengths(
-    touches: DataFrame, max_length: int | None = None, outcome: Sequence[str] = OUTCOME, event: str = "event_id"
+    touches: DataFrame,
+    max_length: int | None = None,
+    outcome: Sequence[str] = OUTCOME,
+    event: str = "event_id",
+    long_path: int = LONG_PATH,
 ) -> DataFrame:
-    """Touches with the ``path_length`` of their outcome; with ``max_length`` only those of outcomes up to it."""
+    """Touches with the ``path_length`` of their outcome; with ``max_length`` only those of outcomes up to it.
+
+    Touches are staged and shuffled by outcome, those of outcomes with more than ``long_path`` of them by event too.
+    Those without an outcome have no length.
+    """
     if max_length is not None:
         return short_paths(touches, max_length, outcome, event)
+    short, long = staged_by_length(touches, outcome, long_path)
+    known = reduce(and_, [F.col(c).isNotNull() for c in outcome])
+    found = gathered_lengths(short.where(known), outcome, event).unionByName(
+        short.where(~known).withColumn("path_length", F.lit(None).cast("bigint"))
+    )
+    return found if long is None else found.unionByName(joined_lengths(long, outcome, event))
+
+
+def staged_by_length(
+    touches: DataFrame, outcome: Sequence[str] = OUTCOME, long_path: int = LONG_PATH
+) -> tuple[DataFrame, DataFrame | None]:
+    """Staged touches: those of outcomes with at most ``long_path`` of them, and the others if there are any."""
+    rows = stage(touches)
+    long = stage(ordered.long_groups(rows, outcome, long_path).select(*outcome))
+    if long.isEmpty():
+        return rows, None
+    return tuple(rows.join(long, list(outcome), how).select(*rows.columns) for how in ("left_anti", "left_semi"))
+
+
+def gathered_lengths(touches: DataFrame, outcome: Sequence[str] = OUTCOME, event: str = "event_id") -> DataFrame:
+    """``path_length`` by windows over each outcome, null where the outcome is."""
+    by_outcome = W.partitionBy(*outcome)
+    known = reduce(and_, [F.col(c).isNotNull() for c in outcome])
+    return (
+        touches.withColumn("_nth", F.dense_rank().over(by_outcome.orderBy(event)))
+        .withColumn("path_length", F.when(known, F.max("_nth").over(by_outcome).cast("bigint")))
+        .drop("_nth")
+    )
+
+
+def joined_lengths(touches: DataFrame, outcome: Sequence[str] = OUTCOME, event: str = "event_id") -> DataFrame:
+    """``path_length`` by a join with the number of events of each outcome, whose touches are spread by event."""
     lengths = path_lengths(touches, outcome, event).withColumnsRenamed({c: f"_{c}" for c in outcome})
-    joined = skew_join(touches, lengths, [(c, f"_{c}") for c in outcome], how="left")
+    joined = skew_join(touches, lengths, [(c, f"_{c}") for c in outcome], how="left", spread_by=[event])
     return joined.select(*touches.columns, "path_length")
 
 

@@ -211,6 +211,29 @@ def test_mobile_only(spark):
     assert sorted(r.transaction_id for r in paths.exact_device_outcomes(df).collect()) == [1, 1, 4]
 
 
+@pytest.mark.parametrize("long_path", [1, 3, 10**9])
+def test_lengths_of_all_outcomes(spark, long_path):
+    """Copies of an event count once, events and outcomes may be null, and every row stays."""
+    df = matches(
+        spark, (1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a"), (3, 4, "a"), (3, 4, "b"), (None, 5, "a"), (None, 6, "a")
+    ).withColumn("event_id", F.when(F.col("event_id") != 3, F.col("event_id")))
+    found = paths.with_lengths(df, long_path=long_path)
+    assert found.columns == [*df.columns, "path_length"] and dict(found.dtypes)["path_length"] == "bigint"
+    got = sorted(((r.transaction_id, r.event_id, r.channel_name, r.path_length) for r in found.collect()), key=repr)
+    assert got == sorted(
+        [(1, 1, "a", 3), (1, 2, "b", 3), (1, 2, "b", 3), (1, None, "c", 3), (2, 1, "a", 1), (3, 4, "a", 1), (3, 4, "b", 1), (None, 5, "a", None), (None, 6, "a", None)],
+        key=repr,
+    )
+
+
+def test_lengths_take_one_shuffle(spark):
+    """Touches are read from a stage and shuffled once, by outcome."""
+    df = matches(spark, (1, 1, "a"), (1, 2, "b"), (2, 1, "a"))
+    found = paths.with_lengths(df)
+    assert plans.shuffles_of(found, "event_id") == 1 and plans.shuffles_of(found, "channel_name") == 1
+    assert "Join" not in plans.formatted(found)
+
+
 @pytest.mark.parametrize("min_rows", [1, 10**6])
 def test_mobile_only_with_hot_outcomes(spark, min_rows):
     rows = [(1, "Mobile", 0), (1, None, 1), (2, "Mobile", 2), (2, "PC", 3), (2, "Mobile", 4), (3, None, 5), (4, "Mobile", 6), (None, "Mobile", 7)]
