@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import stage
 from . import ordered
-from .paths import LONG_PATH, OUTCOME, short_paths, with_lengths
+from .paths import LONG_PATH, OUTCOME, gathered_lengths, joined_lengths, short_paths, staged_by_length
 
 
 def _local(touches: DataFrame, within: Sequence[str], ts: str, tie_break: str) -> DataFrame:
@@ -100,13 +100,22 @@ def weighted_edges(
 
 
 def chrono_steps(
-    touches: DataFrame, current: Sequence[str], outcome: Sequence[str] = OUTCOME, attributes: Sequence[str] = ()
+    touches: DataFrame,
+    current: Sequence[str],
+    outcome: Sequence[str] = OUTCOME,
+    attributes: Sequence[str] = (),
+    long_path: int = LONG_PATH,
 ) -> DataFrame:
     """One row per event of each outcome, with both neighbours, its steps and the ``path_length``.
 
-    Events are those of paths of any length; a path is never gathered.
+    Events are those of paths of any length, staged once; paths of up to ``long_path`` of them are shuffled once, for
+    lengths and neighbours alike, and longer ones never gathered.
     """
-    steps = with_neighbours(with_lengths(touches, outcome=outcome), current, outcome)
+    needed = dict.fromkeys([*outcome, *attributes, "event_ts", "event_id", *current])
+    short, long = staged_by_length(touches.select(*needed), outcome, long_path)
+    steps = with_neighbours(gathered_lengths(short, outcome), current, outcome, long_path=None)
+    if long is not None:
+        steps = steps.unionByName(_over_slices(joined_lengths(long, outcome), current, outcome, "event_ts", "event_id", None))
     sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("previous", "next") for c in current]
     return steps.select(*outcome, *attributes, "path_length", "event_ts", "event_id", *current, *sides, "backward_step", "forward_step")
 

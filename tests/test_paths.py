@@ -260,6 +260,32 @@ def test_neighbours_and_steps(spark, long_path):
     }
 
 
+@pytest.mark.parametrize("long_path", [1, 3, 10**9])
+def test_steps_with_lengths(spark, long_path):
+    df = matches(spark, (1, 1, "a", 0), (1, 2, "b", 2), (1, 3, "c", 2), (1, 4, "d", 9000), (2, 5, "z", 1), (3, 7, "y", 1), (3, 7, "y", 1), (None, 6, "x", 1))
+    steps = sequence.chrono_steps(df.withColumns({"kind": F.lit("k"), "other": F.lit(1)}), ["channel_name"], attributes=["kind"], long_path=long_path)
+    assert steps.columns == [
+        *paths.OUTCOME, "kind", "path_length", "event_ts", "event_id", "channel_name", "previous_channel_name", "next_channel_name", "backward_step", "forward_step",
+    ]
+    got = sorted(
+        ((r.event_id, r.path_length, r.previous_channel_name, r.next_channel_name, r.forward_step, r.backward_step) for r in steps.collect()), key=repr
+    )
+    assert got == sorted(
+        [
+            (1, 4, None, "b", 1, 4), (2, 4, "a", "c", 2, 2), (3, 4, "b", "d", 2, 2), (4, 4, "c", None, 4, 1), (5, 1, None, None, 1, 1),
+            (7, 1, None, "y", 1, 1), (7, 1, "y", None, 1, 1), (6, None, None, None, 1, 1),
+        ],
+        key=repr,
+    )
+
+
+def test_steps_take_one_shuffle(spark):
+    """Lengths and neighbours of staged touches need one shuffle by outcome, which carries each column once."""
+    df = matches(spark, (1, 1, "a"), (1, 2, "b"), (2, 1, "a")).withColumn("other", F.lit("o"))
+    steps = sequence.chrono_steps(df, ["channel_name"])
+    assert plans.shuffles_of(steps, "event_id") == 1 and plans.shuffles_of(steps, "_row") == 0
+
+
 def test_edges(spark):
     df = matches(spark, (1, 1, "a", 0), (1, 2, "b", 1), (2, 3, "a", 0), (2, 4, "b", 1)).withColumn("kind", F.lit("k"))
     edges = sequence.weighted_edges(sequence.with_neighbours(df, ["channel_name"]), ["kind"], ["channel_name"])
